@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries after which a memo is emptied, so that a worker's memory stays bounded.
-MEMO = 400_000
+MEMO, WORDS = 500_000, 700_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_KEPT = 48
 
@@ -135,17 +135,17 @@ class Transducer:
     def reset(self) -> None:
         self._states: list[tuple[int, ...]] = [(0,)]  # token + 1 in the low 32 bits: 0 where no token is before
         self._ids = {(0,): self.START}
-        self._steps: dict[int, tuple[int, int]] = {}
+        self._steps: dict[int, int] = {}  # the next state, and the token in the low 32 bits
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state, and the last token of the encoding of what was read so far."""
+    def step(self, state: int, byte: int) -> int:
+        """The next state, and in the low 32 bits the last token of the encoding of what was read so far."""
         key = state << 8 | byte
         known = self._steps.get(key)
         if known is None:
             known = self._steps[key] = self._determinise(state, byte)
         return known
 
-    def _determinise(self, state: int, byte: int) -> tuple[int, int]:
+    def _determinise(self, state: int, byte: int) -> int:
         child, token_at, open_, merges = self._child, self._token_at, self._open, self.merges
         grown, ending = [], -1
         for x in self._states[state]:
@@ -166,7 +166,7 @@ class Transducer:
         if known is None:
             known = self._ids[state_] = len(self._states)
             self._states.append(state_)
-        return known, ending
+        return known << 32 | ending
 
     def _back(self, ends: list[int], at: int) -> list[int]:
         """The tokens of the encoding of the first `at` buffered bytes."""
@@ -186,13 +186,14 @@ class Transducer:
         return paths[0][:n]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self._steps) > 4 * MEMO:
+        if len(self._steps) > 2 * MEMO:
             self.reset()
         state, ends, out, known_steps = self.START, [], [], self._steps.get
         limit = 8 * self.lookahead
         for byte in piece:
-            state, token = known_steps(state << 8 | byte) or self.step(state, byte)
-            ends.append(token)
+            known = known_steps(state << 8 | byte) or self.step(state, byte)
+            state = known >> 32
+            ends.append(known & 0xFFFFFFFF)
             if len(ends) >= limit:
                 sure = self._settled(state, ends)
                 out += sure
@@ -226,34 +227,60 @@ def spelled_out(pattern: str) -> str:
 
 
 class Codec:
-    """Encodes and decodes texts by one table of ranks and one pattern."""
+    """Encodes and decodes texts by one table of ranks and one pattern.
 
-    def __init__(self, path: str, pattern: str):
+    by_words: the pattern begins a piece at each space between two other characters that are not white space, so
+    that such words can be remembered with the space before them.
+    """
+
+    def __init__(self, path: str, pattern: str, by_words: bool = True):
+        self._by_words = by_words
         self.ranks = read_ranks(path)
         self.transducer = Transducer(self.ranks)
         self._cut_any, self._cut_low = regex.compile(pattern).findall, re.compile(spelled_out(pattern)).findall
         self._high = re.compile(f"[^\0-{chr(SPELLED_OUT - 1)}]").search
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._one_each = {rank: rank for rank in self.ranks.values()}  # one object for each id
+        self._double = re.compile(r"\s\s|^\s|\s$").search
+        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "replace")
         whole = self.ranks.get(raw)  # a piece that is itself a token is that token
-        ids = (whole,) if whole is not None else tuple(self.transducer.encode(raw))
+        ids = (whole,) if whole is not None else tuple(map(self._one_each.__getitem__, self.transducer.encode(raw)))
         if len(piece) <= LONGEST_KEPT:
-            if len(self._known) >= MEMO:
-                self._known.clear()
-            self._known[piece] = ids
+            if len(self._pieces) >= MEMO:
+                self._pieces.clear()
+            self._pieces[piece] = ids
         return ids
 
     def cut(self, text: str) -> list[str]:
         return self._cut_any(text) if self._high(text) else self._cut_low(text)
 
-    def encode(self, text: str | None) -> list[int]:
-        known, make, out = self._known.get, self._piece, []
-        for piece in self.cut(text or ""):
+    def _span(self, text: str) -> list[int]:
+        known, make, out = self._pieces.get, self._piece, []
+        for piece in self.cut(text):
             out += known(piece) or make(piece)
         return out
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self._span(f" {word}"))
+        if len(word) <= LONGEST_KEPT:
+            if len(self._words) >= WORDS:
+                self._words.clear()
+            self._words[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> list[int]:
+        text = text or ""
+        if not self._by_words or self._double(text):
+            return self._span(text)
+        first, *words = text.split(" ")
+        known, make, out = self._words.get, self._word, self._span(first)
+        for word in words:
+            out += known(word) or make(word)
+        return out
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         token = self.transducer.merges.bytes_of
         return b"".join([token[i] for i in ids])

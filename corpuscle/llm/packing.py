@@ -27,39 +27,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.llm.bpe import SPELLED_OUT, spelled_out
 from corpuscle.llm.shared import stored
 
 #: Words after which a worker's memo is emptied, and the longest word kept.
-MEMO, LONGEST_KEPT = 400_000, 48
+MEMO, LONGEST_KEPT = 1_000_000, 48
+#: The pieces that the tokenizer's first step cuts a text into, after it is in lower case and composed.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: No code point below this is composed with another or changes by composition.
+COMPOSED = SPELLED_OUT
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose words never reach across ASCII white space; words are remembered."""
+    """Ids of whole texts by a tokenizer with word ends; the ids of pieces are remembered.
+
+    Words end at ASCII white space, which no piece reaches across. Words of code points below COMPOSED are cut into
+    the tokenizer's own pieces, and those not met before are given to the tokenizer together. A text with any other
+    word goes to the tokenizer as it stands.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-        self._words = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words, known = self._words(text or ""), self._known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > MEMO:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        made = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self._tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                made[w] = np.array(e.ids, "<u4").tobytes()
-        known.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KEPT)
-        return b"".join([known[w] if w in known else made[w] for w in words])
+        size = self._tokenizer.get_vocab_size()
+        self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self._words: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._cut_low = re.compile(spelled_out(PIECES)).findall
+        self._high = re.compile(f"[^\0-{chr(COMPOSED - 1)}]").search
+        self._cut_words = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Remembers the ids of pieces that the tokenizer does not cut further, from one call."""
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = self._ids("\n".join(part))
+            cuts = np.flatnonzero(self._ends[ids]) + 1
+            if len(cuts) != len(part):
+                self._pieces.update((w, self._ids(w).tobytes()) for w in part)
+                continue
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self._pieces[w] = data[start:end]
+                start = end
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if len(self._words) > MEMO or len(self._pieces) > MEMO:
+            self._words.clear()
+            self._pieces.clear()
+        cut = [self._cut_words((t or "").lower()) for t in texts]
+        fresh = {w for words in cut for w in words}.difference(self._words)
+        low = {w: self._cut_low(w) for w in fresh if not self._high(w) and "<|" not in w}
+        self._learn(list({p for parts in low.values() for p in parts}.difference(self._pieces)))
+        made = {w: b"".join([self._pieces[p] for p in parts]) for w, parts in low.items()}
+        self._words.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KEPT)
+        out, known = [], self._words
+        for text, words in zip(texts, cut, strict=True):
+            try:
+                out.append(b"".join([known[w] for w in words]))
+            except KeyError:  # a very long word, or one that the tokenizer has to see as it stands
+                plain = all(w in known or w in made for w in words)
+                out.append(b"".join([known.get(w) or made.get(w, b"") for w in words]) if plain else self._ids(text).tobytes())
+        return out
 
 
 @cache
@@ -79,8 +113,8 @@ def pieces(df: DataFrame, path: str, end: int, capacity: int, key: str = "doc_id
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 rows, nth, cut = [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    ids = tokenizer.encode(t) + last
+                for i, own in enumerate(tokenizer.encode_batch(part.column(1).to_pylist())):
+                    ids = own + last
                     for k, start in enumerate(range(0, len(ids), size)):
                         rows.append(i)
                         nth.append(k)
