@@ -38,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             made = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string()), b.column(2), b.column(3), pa.array([len(t) for t in made], pa.int64())], COLUMNS)
 
-    kept = suffix.deduplicated(docs.select(*COLUMNS), length=PASSAGE)
+    kept = suffix.deduplicated(docs.select("doc_id", "text", "lang", "source"), length=PASSAGE)
     return kept.select("doc_id", "kept", "lang", "source").mapInArrow(texts, docs.select(*COLUMNS).schema)
 
 

@@ -10,7 +10,8 @@ and their similarity is then computed on whole texts. Equal texts are grouped be
 Rows of a key are compared as they pass, as in the module of fingerprints. Up to `PAIRWISE` rows all candidates are
 reported; beyond that, those that join what was apart so far, the most similar first, which is what a group needs.
 
-Rows: null and empty texts have no shingles and are duplicates of each other only. A text of fewer words is one
+Rows: null and empty texts have no shingles and are duplicates of each other only; a null text that stays comes out
+empty. A text of fewer words is one
 shingle. Rows with a null key are grouped too, and lend a group no name. An empty table gives an empty table.
 """
 
@@ -23,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuscle.llm.components import components, forest
-from corpuscle.llm.shared import stored
+from corpuscle.llm.components import components
+from corpuscle.llm.shared import stored, texts_by_id, unzipped
 from corpuscle.llm.simhash import BLOCK, GOLAY, shingle_hashes
 
 SEGMENTS = 5
@@ -66,8 +68,9 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
 def _printed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([wide_print(shingle_set(t, width)) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(3))], ["id", "word", "p1", "p2"])
+            texts = (unzipped(z).decode("utf-8", "replace") for z in b.column(2).to_pylist())
+            made = np.array([wide_print(shingle_set(t, width)) for t in texts], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(3))], ["id", "sha", "word", "p1", "p2"])
 
     return run
 
@@ -194,44 +197,54 @@ def candidates(words: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _verified(width: int, similarity: float):
-    """(a, b) of (a, b, text, text) rows that are similar enough."""
+    """(a, b) of (a, b, z, z) rows whose texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda z: shingle_set(unzipped(z).decode("utf-8", "replace"), width)
         for b in batches:
-            last: tuple[str | None, np.ndarray] = (None, shingle_set(None, width))
+            last: tuple[bytes | None, np.ndarray] = (None, of(None))
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if x != last[0]:
-                    last = (x, shingle_set(x, width))
-                ok.append(similarity_of(last[1], shingle_set(y, width)) >= similarity)
+                    last = (x, of(x))
+                ok.append(similarity_of(last[1], of(y)) >= similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(id, group) of the rows of df, written to the shared folder with an id: the smallest id its links reach; also
-    returns the written table, with the columns of df, `id` and `sha`."""
-    base = stored(df.withColumn("id", F.monotonically_increasing_id()).withColumn("sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), "near")
-    same = stored(base.groupBy("sha").agg(F.min("id").alias("first_id")), "same")
-    first = base.join(same.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    prints = stored(first.mapInArrow(_printed(width), "id long, word long, p1 long, p2 long"), "prints")
-    # Texts of one word stand together under the first of them; the others are compared with it.
-    heads = prints.groupBy("word").agg(F.min_by(F.struct("id", "p1", "p2"), "id").alias("h")).select("word", F.col("h.id").alias("head"), "h.p1", "h.p2")
+def groups(base: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(id, group) of (id, sha, z) rows: the smallest id that a row reaches through near-duplicates."""
+    prints = stored(base.select("id", "sha", "z").mapInArrow(_printed(width), "id long, sha binary, word long, p1 long, p2 long"), "prints")
+    # Texts of one word stand under the first of them: copies of it as they are, others if they are similar.
+    heads = prints.groupBy("word").agg(F.min_by(F.struct("id", "sha", "p1", "p2"), "id").alias("h")).select("word", F.col("h.id").alias("head"), F.col("h.sha").alias("head_sha"), "h.p1", "h.p2")
     heads = stored(heads, "heads")
     near = candidates(heads, block)
     near = near.join(heads.select(F.col("word").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("word").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    alike = prints.join(heads.select("word", "head"), "word").where("id != head").select(F.col("head").alias("x"), F.col("id").alias("y"))
-    pairs = near.union(alike)
-    texts = pairs.join(first.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(first.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
-    links = texts.select("x", "y", "tx", "ty").mapInArrow(_verified(width, similarity), "a long, b long")
-    found = components(links, "a", "b")
-    return base, same.join(found.withColumnRenamed("node", "first_id"), "first_id", "left").select("sha", F.coalesce("component", "first_id").alias("group"))
+    under = prints.select("id", "sha", "word").join(heads.select("word", "head", "head_sha"), "word").where("id != head")
+    under = stored(under.select(F.col("head").alias("a"), F.col("id").alias("b"), (F.col("sha") == F.col("head_sha")).alias("same")), "under")
+    pairs = near.union(under.where("not same").select(F.col("a").alias("x"), F.col("b").alias("y")))
+    texts = pairs.join(base.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x").join(base.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
+    links = texts.select("x", "y", "zx", "zy").mapInArrow(_verified(width, similarity), "a long, b long").union(under.where("same").select("a", "b"))
+    found = stored(components(links, "a", "b"), "groups")
+    return base.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """The rows of df without near-duplicates: of each group the row with the smallest key stays (nulls last)."""
-    base, of_text = groups(df, key, text, width, similarity)
-    named = base.select("id", "sha", F.col(key).alias("_key")).join(of_text, "sha")
-    keep = named.groupBy("group").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "id")).alias("k")).select(F.col("k.id").alias("id"))
-    return base.join(keep, "id", "left_semi").select(*df.columns)
+    columns = [f for f in df.schema.fields if f.name != text]
+    names = [f"c{i}" for i in range(len(columns))]
+    own = names[[f.name for f in columns].index(key)]
+    base = texts_by_id(df, text, columns, "near")
+    named = base.select("id", F.col(own).alias("key")).join(groups(base, width, similarity, block), "id")
+    keep = named.groupBy("group").agg(F.min(F.struct(F.col("key").isNull(), "key", "id")).alias("k")).select(F.col("k.id").alias("id"))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([unzipped(z).decode("utf-8", "replace") for z in b.column(b.num_columns - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*names, "_text"])
+
+    kinds = [T.StructField(n, f.dataType) for n, f in zip(names, columns, strict=True)]
+    out = base.join(keep, "id", "left_semi").select(*names, "z").mapInArrow(opened, T.StructType([*kinds, T.StructField("_text", T.StringType())]))
+    at = {f.name: n for f, n in zip(columns, names, strict=True)} | {text: "_text"}
+    return out.select(*(F.col(at[c]).alias(c) for c in df.columns))

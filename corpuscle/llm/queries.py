@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, chat, jpeg, mil, mtree, packing, simhash, suffix, warc
+from corpuscle.llm import bpe, chat, jpeg, mil, mtree, packing, patience, simhash, suffix, warc
 from corpuscle.llm.shared import new_path, tables
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -49,6 +49,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in each document."""
+    return patience.scan(tables(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations, read back from their formatted windows."""
     own = spark.sql("SELECT -1L AS conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -160,7 +165,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_bpe, op2_suffix_dedup, op4_chat_formatting, op5_simhash, op6_top_k, op7_warc, op8_quality, op9_best_fit_packing, op10_progressive_jpeg)
+    made = (op1_bpe, op2_suffix_dedup, op3_license_scan, op4_chat_formatting, op5_simhash, op6_top_k, op7_warc, op8_quality, op9_best_fit_packing, op10_progressive_jpeg)
     return {f.__name__: f for f in made}
 
 

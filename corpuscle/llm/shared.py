@@ -1,11 +1,20 @@
-"""Helpers that the training-data operators share: the shared folder and written tables."""
+"""Helpers that the training-data operators share: the shared folder and written tables.
+
+Results are lazy, so the tables they read stay in the shared folder until its owner clears it.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,12 +41,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a table that stored() returned, once nothing reads it any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df, written to the shared folder in buckets of a key: joins by the key then leave its rows where they are."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"corpuscle_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes its hash, its length in bytes, and its bytes in zstd; null counts as empty."""
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        raw = [x or b"" for x in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
+        made = [pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([z.compress(x) if x else b"" for x in raw], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "sha", "n_bytes", "z"])
+
+
+def unzipped(z: bytes | None) -> bytes:
+    return zstandard.decompress(z) if z else b""
+
+
+def texts_by_id(df: DataFrame, text: str, columns: list[T.StructField], name: str) -> DataFrame:
+    """(id, c0.., sha, n_bytes, z) of df, in buckets of a new id: columns under numbers, and the text by zipped()."""
+    kinds = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(columns)]
+    made = [T.StructField("sha", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("z", T.BinaryType())]
+    rows = df.select(*(F.col(f"`{f.name}`").alias(k.name) for f, k in zip(columns, kinds, strict=True)), F.col(f"`{text}`").cast("string").alias("_text"))
+    return bucketed(rows.mapInArrow(zipped, T.StructType([*kinds, *made])).withColumn("id", F.monotonically_increasing_id()), "id", name)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ What is asked: which strings of `length` bytes start at two places of the collec
    prefixes of neighbours. As only suffixes of one column can be compared, the transform is the sequence of its
    columns; each is written after the other and read once, by the next round, so a task holds two of them. Where a
    neighbour shares `length` bytes, the window that starts there repeats.
-4. Names with more than `CROWD` distinct fragments are named anew by grams of length - 1 bytes, under which at most
+4. Names with more than `CROWD` rows of fragments are named anew by grams of length - 1 bytes, under which at most
    two bytes of a fragment differ, so that a name's distinct fragments are bounded.
 5. Repeated windows are joined back to the places of their fragments, and the runs they cover are removed.
 
@@ -31,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuscle.llm.shared import stored
+from corpuscle.llm.shared import stored, texts_by_id, unzipped
 
 GRAM = 100
-#: Distinct fragments of one name above which the name is split.
+#: Rows of fragments of one name above which the name is split.
 CROWD = 20_000
 #: Bytes of fragments whose suffix order is built together.
 STEP = 6 << 20
@@ -203,133 +204,156 @@ def _longs(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], list(columns))
 
 
-def _named(length: int, gram: int):
-    """Runs of (id, bytes) rows, without their bytes."""
+def _unpacked(column: pa.Array) -> list[bytes]:
+    return [unzipped(z) for z in column.to_pylist()]
+
+
+def _named(length: int, gram: int, unpack):
+    """Runs of (id, n, bytes) rows, without their bytes; n is carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                made = [text_runs(t, length, gram) for t in part.column(1).to_pylist()]
-                rows = np.repeat(part.column(0).to_numpy(), [len(m[0]) for m in made])
-                yield _longs(dict(zip(("id", "name", "first", "windows", "place"), (rows, *(np.concatenate(x) for x in zip(*made, strict=True))), strict=True)))
+                made = [text_runs(t, length, gram) for t in unpack(part.column(2))]
+                sizes = [len(m[0]) for m in made]
+                ids, n = (np.repeat(part.column(i).to_numpy(), sizes) for i in (0, 1))
+                yield _longs(dict(zip(("id", "n", "name", "first", "windows", "place"), (ids, n, *(np.concatenate(x) for x in zip(*made, strict=True))), strict=True)))
 
     return run
 
 
-def _cut(length: int):
-    """Fragments of (id, bytes, runs, n) rows; the bytes of a fragment come once in a batch, with its number there."""
+_NAMED = "id long, n long, name long, first long, windows long, place long"
+_CUT = "id long, first long, k1 long, k2 long, name long, lead long, windows long, n long, fragment binary"
+#: Fragments that a task remembers to have sent.
+SENT = 500_000
+
+
+def _cut(length: int, unpack):
+    """Fragments of (id, bytes, runs) rows. n is above 0 where the fragment has to be looked at: its bytes come with
+    the first of its like in a task, and n is 2 if it stands twice; the second of its like comes without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[int, int], int] = {}
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                ids, texts, weights = (part.column(i).to_pylist() for i in (0, 1, 3))
-                lists = part.column(2)
+                ids, texts, lists = part.column(0).to_pylist(), unpack(part.column(1)), part.column(2)
                 out: list[tuple] = []
-                seen: set[tuple[int, int]] = set()
                 for i, text in enumerate(texts):
                     runs = lists[i].values
-                    for name, first, windows, place in zip(*(runs.field(k).to_pylist() for k in ("name", "first", "windows", "place")), strict=True):
+                    for n, name, first, windows, place in zip(*(runs.field(k).to_pylist() for k in ("n", "name", "first", "windows", "place")), strict=True):
                         fragment = text[first : first + windows + length - 1]
-                        d = hashlib.blake2b(fragment, digest_size=16, key=struct.pack("<qq", name, place - first)).digest()
-                        key = struct.unpack("<qq", d)
-                        out.append((ids[i], first, *key, name, place - first, windows, weights[i], None if key in seen else fragment))
-                        seen.add(key)
+                        key = struct.unpack("<qq", hashlib.blake2b(fragment, digest_size=16, key=struct.pack("<qq", name, place - first)).digest())
+                        before = sent.get(key, 0)
+                        out.append((ids[i], first, *key, name, place - first, windows, n if before < 2 else 0, None if before else fragment))
+                        if before < 2:
+                            sent[key] = before + n
+                if len(sent) > SENT:
+                    sent.clear()
                 columns = list(zip(*out, strict=True)) if out else [()] * 9
                 yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns[:8]), pa.array(list(columns[8]), pa.binary())], ["id", "first", "k1", "k2", "name", "lead", "windows", "n", "fragment"])
 
     return run
 
 
-_CUT = "id long, first long, k1 long, k2 long, name long, lead long, windows long, n long, fragment binary"
-_HITS = "k1 long, k2 long, begin long, stop long"
+_HITS = "k1 long, k2 long, begin long, stop long, n long, fragment binary"
 
 
-def _ordered(length: int):
-    """Repeated windows of distinct fragments (k1, k2, name, lead, windows, n, fragment), sorted by name."""
+def _rows(k1, k2, begin, stop, n, fragment) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (k1, k2, begin, stop, n)), fragment], ["k1", "k2", "begin", "stop", "n", "fragment"])
+
+
+def _ordered(length: int, crowd: int):
+    """Covered bytes of fragments (name, k1, k2, lead, windows, n, fragment) that come sorted; rows of a name with more
+    than `crowd` rows come back as they are, with n above 0."""
 
     def hits(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        name, lead, windows, n = (t[c].to_numpy() for c in ("name", "lead", "windows", "n"))
-        group = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]]))
-        found = repeated_windows(group, t["fragment"].to_pylist(), length - lead, windows, n > 1, length)
-        row, begin, stop = [], [], []
+        name, k1, k2, lead, windows, n = (t[c].to_numpy() for c in ("name", "k1", "k2", "lead", "windows", "n"))
+        one = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (name[1:] != name[:-1])]))
+        has = np.flatnonzero(t["fragment"].is_valid().to_numpy())
+        bytes_at = has[np.searchsorted(has, one)]  # some row of each fragment has its bytes
+        group = np.cumsum(np.concatenate([[0], name[one][1:] != name[one][:-1]]))
+        found = repeated_windows(group, t["fragment"].take(pa.array(bytes_at)).to_pylist(), length - lead[one], windows[one], np.add.reduceat(n, one) > 1, length)
+        row, begin, stop = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(found):
             if len(w):
                 cut = np.flatnonzero(np.diff(w) > 1) + 1
                 begin.append(w[np.concatenate([[0], cut])])
                 stop.append(w[np.concatenate([cut - 1, [len(w) - 1]])] + length)
-                row.append(np.full(len(cut) + 1, i))
+                row.append(np.full(len(cut) + 1, one[i]))
         row = np.concatenate(row) if row else np.zeros(0, np.int64)
-        empty = np.zeros(0, np.int64)
-        return _longs({"k1": t["k1"].to_numpy()[row], "k2": t["k2"].to_numpy()[row], "begin": np.concatenate(begin) if begin else empty, "stop": np.concatenate(stop) if stop else empty})
+        return _rows(k1[row], k2[row], np.concatenate(begin), np.concatenate(stop), np.zeros(len(row), np.int64), pa.nulls(len(row), pa.binary()))
+
+    def given_back(part: pa.RecordBatch) -> pa.RecordBatch:
+        z = np.zeros(part.num_rows, np.int64)
+        return _rows(part.column(1), part.column(2), z, z, part.column(5), part.column(6))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        count = size = 0
+        at, over = None, None  # the name of the last row held; a name that is given back
         for b in batches:
-            while b.num_rows:
-                # Small pieces, so that a step never holds much more than STEP bytes and one name.
-                part, b = b.slice(0, 2000), b.slice(2000)
-                names = part.column(2).to_numpy()
-                if held and size >= STEP:
-                    last = held[-1].column(2)[held[-1].num_rows - 1].as_py()
-                    n = int(np.argmax(np.concatenate([names != last, [True]])))
-                    if n < part.num_rows:
-                        if n:
-                            held.append(part.slice(0, n))
+            names = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part, name = b.slice(lo, hi - lo), int(names[lo])
+                if name == over:
+                    yield given_back(part)
+                    continue
+                if name != at:
+                    if size >= STEP:
                         yield hits(held)
-                        held, size, part = [], 0, part.slice(n)
+                        held, size = [], 0
+                    own, count, at = len(held), 0, name
                 held.append(part)
+                count += part.num_rows
                 size += part.column(6).nbytes
+                if count > crowd:
+                    for x in held[own:]:
+                        yield given_back(x)
+                    del held[own:]
+                    over, at = name, None
+                    size = sum(x.column(6).nbytes for x in held)
         if held:
             yield hits(held)
 
     return run
 
 
-def _hits(cut: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, begin, stop): the bytes that repeated windows cover in each distinct fragment."""
-    distinct = cut.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.first("name").alias("name"), F.first("lead").alias("lead"), F.first("windows").alias("windows"), F.first("fragment", True).alias("fragment"))
-    rows = distinct.select("k1", "k2", "name", "lead", "windows", "n", "fragment")
-    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(_ordered(length), _HITS)
+def _hits(cut: DataFrame, length: int, crowd: int, name: str) -> DataFrame:
+    rows = cut.where("n > 0").select("name", "k1", "k2", "lead", "windows", "n", "fragment")
+    return stored(rows.repartition("name").sortWithinPartitions("name", "k1", "k2").mapInArrow(_ordered(length, crowd), _HITS), name)
 
 
 def covered(texts: DataFrame, length: int = 400, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(id, spans): the bytes [begin, stop) of each text that repeated strings of `length` bytes cover.
 
-    texts: id (a distinct number), bytes (not null), copies (at how many places the text stands; 2 stands for more).
+    texts: id (a distinct number), z (the text's bytes in zstd), n (at how many places it stands; 2 stands for more).
     Texts without such bytes have no row. Spans may overlap; they are not sorted.
     """
-    long = texts.where(F.length("bytes") >= length)
-    runs = stored(long.select("id", "bytes").mapInArrow(_named(length, gram), "id long, name long, first long, windows long, place long"), "runs")
-    several = long.where("copies > 1").select("id")
-    # A text that stands twice repeats all its names; the others count once.
-    named = runs.groupBy("name").agg(F.count("*").alias("n"))
-    again = runs.join(several, "id", "left_semi").select("name").distinct()
-    names = named.where("n > 1").select("name").union(again).distinct()
-    own = runs.join(names, "name", "left_semi").groupBy("id").agg(F.collect_list(F.struct("name", "first", "windows", "place")).alias("runs"))
-    weight = F.when(F.col("copies") > 1, 2).otherwise(1).cast("long").alias("n")
-    cut = stored(long.join(own, "id").select("id", "bytes", "runs", weight).mapInArrow(_cut(length), _CUT), "fragments")
-    crowded = cut.where(F.col("fragment").isNotNull()).select("name", "k1", "k2").distinct().groupBy("name").count().where(F.col("count") > crowd).select("name")
-    crowded = stored(crowded, "crowded")
-    if crowded.isEmpty():
-        hits = _hits(cut, length)
-    else:
-        hits = _hits(cut.join(crowded, "name", "left_anti"), length).union(_split(cut.join(crowded, "name", "left_semi"), length))
+    runs = stored(texts.select("id", "n", "z").mapInArrow(_named(length, gram, _unpacked), _NAMED), "runs")
+    names = runs.groupBy("name").agg(F.sum("n").alias("all")).where("all > 1").select("name")
+    own = runs.join(names, "name", "left_semi").groupBy("id").agg(F.collect_list(F.struct("n", "name", "first", "windows", "place")).alias("runs"))
+    cut = stored(texts.select("id", "z").join(own, "id").mapInArrow(_cut(length, _unpacked), _CUT), "fragments")
+    found = _hits(cut, length, crowd, "hits")
+    hits, crowded = found.where("n = 0").select("k1", "k2", "begin", "stop"), found.where("n > 0")
+    if not crowded.isEmpty():
+        hits = hits.union(_split(crowded, length))
     spans = cut.select("id", "first", "k1", "k2").join(hits, ["k1", "k2"])
     return spans.groupBy("id").agg(F.collect_list(F.struct((F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("stop")).alias("stop"))).alias("spans"))
 
 
-def _split(cut: DataFrame, length: int) -> DataFrame:
-    """_hits of fragments of crowded names, which are cut again by grams of length - 1 bytes."""
-    distinct = cut.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.first("fragment", True).alias("fragment"))
+def _split(crowded: DataFrame, length: int) -> DataFrame:
+    """Covered bytes of fragments of crowded names, which are cut again by grams of length - 1 bytes."""
+    plain = lambda column: column.to_pylist()
+    distinct = crowded.groupBy("k1", "k2").agg(F.least(F.sum("n"), F.lit(2)).alias("n"), F.first("fragment", True).alias("fragment"))
     distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "crowd")
-    runs = distinct.select("id", "fragment").mapInArrow(_named(length, length - 1), "id long, name long, first long, windows long, place long")
-    own = runs.groupBy("id").agg(F.collect_list(F.struct("name", "first", "windows", "place")).alias("runs"))
-    finer = stored(distinct.join(own, "id").select("id", "fragment", "runs", "n").mapInArrow(_cut(length), _CUT), "finer")
-    hits = finer.select("id", "first", "k1", "k2").join(_hits(finer, length), ["k1", "k2"])
+    runs = distinct.select("id", "n", "fragment").mapInArrow(_named(length, length - 1, plain), _NAMED)
+    own = runs.groupBy("id").agg(F.collect_list(F.struct("n", "name", "first", "windows", "place")).alias("runs"))
+    finer = stored(distinct.select("id", "fragment").join(own, "id").mapInArrow(_cut(length, plain), _CUT), "finer")
+    hits = finer.select("id", "first", "k1", "k2").join(_hits(finer, length, 1 << 40, "finer_hits").drop("n", "fragment"), ["k1", "k2"])
     hits = hits.select("id", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("stop")).alias("stop"))
     return hits.join(distinct.select("id", "k1", "k2"), "id").select("k1", "k2", "begin", "stop")
 
@@ -342,37 +366,47 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin[first], stop[np.append(first[1:], len(begin)) - 1] if len(begin) else stop
 
 
-_OUT = "id long, kept binary, n_removed long, n_spans long"
+def _removed(length: int, columns: int, keep_bytes: bool):
+    """Rows of (columns, sha, n_bytes, z, copied, spans) become (columns, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sha, sizes, z, copied, spans = (b.column(columns + i) for i in range(5))
+            out: list[tuple] = []
+            for i, (h, n, double) in enumerate(zip(sha.to_pylist(), sizes.to_pylist(), copied.to_pylist(), strict=True)):
+                if double and n >= length:
+                    out.append((n, 1, hashlib.sha256().hexdigest(), b""))
+                    continue
+                plain = not spans[i].is_valid
+                text = b"" if plain and not keep_bytes else unzipped(z[i].as_py())
+                if plain:
+                    out.append((0, 0, h.hex(), text))
+                    continue
+                own = spans[i].values
+                begin, stop = merged(own.field("begin").to_numpy(), own.field("stop").to_numpy())
+                edges = [0, *np.stack([begin, stop], 1).ravel().tolist(), n]
+                kept = b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                out.append((n - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept))
+            lost, runs, hashes, kept = zip(*out, strict=True) if out else ((), (), (), ())
+            made = [sizes, pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:columns], *made, *([pa.array(kept, pa.binary())] if keep_bytes else [])], [*b.schema.names[:columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])])
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, kept, lost, spans = b.column(0), [], [], []
-        for i, text in enumerate(b.column(1).to_pylist()):
-            own = b.column(2)[i].values
-            begin, stop = merged(own.field("begin").to_numpy(), own.field("stop").to_numpy())
-            edges = [0, *np.stack([begin, stop], 1).ravel().tolist(), len(text)]
-            kept.append(b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]))
-            lost.append(len(text) - len(kept[-1]))
-            spans.append(len(begin))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()), pa.array(lost, pa.int64()), pa.array(spans, pa.int64())], ["id", "kept", "n_removed", "n_spans"])
+    return run
 
 
 def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_bytes: bool = True) -> DataFrame:
-    """df with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) instead of columns so named."""
+    """df without the text, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary); columns of
+    df with these names are replaced."""
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    columns = [c for c in df.columns if c not in made]
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = stored(df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), body.alias("bytes")).withColumn("id", F.monotonically_increasing_id()).withColumn("sha", F.sha2("bytes", 256)), "texts")
-    groups = stored(base.groupBy("sha").agg(F.min("id").alias("first_id"), F.least(F.count("*"), F.lit(2)).alias("copies")), "copies")
-    one_each = base.select("id", "bytes").join(groups.select(F.col("first_id").alias("id"), "copies"), "id")
-    one_each = stored(one_each, "distinct")
-    spans = covered(one_each, length)
-    cleaned = one_each.join(spans, "id").select("id", "bytes", "spans").mapInArrow(_removed, _OUT)
-    cleaned = stored(cleaned.withColumn("kept_sha256", F.sha2("kept", 256)) if keep_bytes else cleaned.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept"), "cleaned")
-    by_text = groups.join(cleaned.withColumnRenamed("id", "first_id"), "first_id").drop("first_id", "copies")
-    out = base.withColumn("n_bytes", F.length("bytes").cast("long"))
-    out = (out if keep_bytes else out.drop("bytes")).join(by_text, "sha", "left")
-    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
-    shown = [F.col("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
-    return out.select(*names, *shown, *([F.coalesce("kept", "bytes").alias("kept")] if keep_bytes else []))
+    columns = [f for f in df.schema.fields if f.name not in made and f.name != text]
+    names = [f"c{i}" for i in range(len(columns))]
+    base = texts_by_id(df, text, columns, "texts")
+    groups = stored(base.groupBy("sha").agg(F.min("id").alias("id"), F.least(F.count("*"), F.lit(2)).alias("n")), "copies")
+    spans = covered(base.where(F.col("n_bytes") >= length).select("id", "z").join(groups.select("id", "n"), "id"), length)
+    copied = base.select("id", "sha").join(groups.where("n > 1").select("sha"), "sha", "left_semi").select("id", F.lit(True).alias("copied"))
+    rows = base.join(copied, "id", "left").join(spans, "id", "left").select(*names, "sha", "n_bytes", "z", "copied", "spans")
+    kinds = [T.StructField(n, f.dataType) for n, f in zip(names, columns, strict=True)]
+    added = [T.StructField(n, T.LongType()) for n in made[:3]] + [T.StructField("kept_sha256", T.StringType())]
+    added += [T.StructField("kept", T.BinaryType())] if keep_bytes else []
+    out = rows.mapInArrow(_removed(length, len(names), keep_bytes), T.StructType([*kinds, *added]))
+    return out.select(*(F.col(n).alias(f.name) for f, n in zip(columns, names, strict=True)), *(f.name for f in added))

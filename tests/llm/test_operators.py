@@ -70,7 +70,6 @@ def plain_removal(texts, length):
 
 @pytest.mark.parametrize("crowd", [20_000, 1])
 def test_suffix_dedup(docs, crowd, monkeypatch):
-    monkeypatch.setattr(suffix, "CROWD", crowd)
     monkeypatch.setattr(suffix.covered, "__defaults__", (400, suffix.GRAM, crowd))
     made = {r.n: r for r in suffix.deduplicated(docs, length=400).collect()}
     for i, want in enumerate(plain_removal(TEXTS, 400)):
@@ -154,13 +153,12 @@ def test_near_duplicates(spark, block):
     near = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(10, 290, 20)]
     rows = [(i, t) for i, t in enumerate([" ".join(base), *near, " ".join(base), words(10, 300), None, "", "two words", "two  WORDS"])]
     rows.append((99, " ".join(base[:150] + words(11, 150).split())))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("group", F.lit(1))
-    _, groups = neardup.groups(df.drop("id", "group"), block=block)
-    assert groups.count() > 0
-    kept = {r.doc_id for r in neardup.one_of_each(df.drop("id")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("group", F.lit(1)).withColumn("z", F.lit(2))
+    kept = neardup.one_of_each(df, block=block).collect()
     n = len(near)
-    assert kept == {0, n + 2, n + 3, n + 5, 99}
-    assert neardup.one_of_each(empty(df.drop("id"))).collect() == []
+    assert {r.doc_id for r in kept} == {0, n + 2, n + 3, n + 5, 99}
+    assert {r.text for r in kept} >= {rows[0][1], "", "two words"} and kept[0].id == "x"
+    assert neardup.one_of_each(empty(df)).collect() == []
 
 
 def test_top_k_tables(spark):
