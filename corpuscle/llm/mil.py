@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 WORDS = 64
 #: Bytes of text that are described at once.
-STEP = 4 << 20
+STEP = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 WIDTH = 256 + 8
@@ -155,7 +155,7 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", sample: int = 8000, each: int = 256) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", sample: int = 4000, each: int = 128) -> Model:
     """A model of the labels of at most `sample` documents that are not held out, of at most `each` spread passages."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("_k"), F.col(label).alias("_y"))
     known = known.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(sample)

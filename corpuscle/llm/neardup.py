@@ -11,8 +11,8 @@ Rows of a key are compared as they pass, as in the module of fingerprints. Up to
 reported; beyond that, those that join what was apart so far, the most similar first, which is what a group needs.
 
 Rows: null and empty texts have no shingles and are duplicates of each other only; a null text that stays comes out
-empty. A text of fewer words is one
-shingle. Rows with a null key are grouped too, and lend a group no name. An empty table gives an empty table.
+empty. A text of fewer words is one shingle. Rows with a null key are grouped too, and lend a group no name. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def _paired(block: int):
         a, b = _candidates(np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])), word)
         if len(a):
             pairs = np.unique(np.stack([a, b], 1), axis=0)
-            if len(seen) > 2_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             new = [p for p in map(tuple, pairs.tolist()) if p not in seen]
             seen.update(new)

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from corpuscle.llm.bpe import SPELLED_OUT, spelled_out
 from corpuscle.llm.shared import stored
 
-#: Words after which a worker's memo is emptied, and the longest word kept.
-MEMO, LONGEST_KEPT = 1_000_000, 48
+#: Words and pieces after which a worker's memos are emptied, and the longest word kept.
+WORDS, KNOWN_PIECES, LONGEST_KEPT = 200_000, 400_000, 48
 #: The pieces that the tokenizer's first step cuts a text into, after it is in lower case and composed.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: No code point below this is composed with another or changes by composition.
@@ -77,8 +77,9 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self._words) > MEMO or len(self._pieces) > MEMO:
+        if len(self._words) > WORDS:
             self._words.clear()
+        if len(self._pieces) > KNOWN_PIECES:
             self._pieces.clear()
         cut = [self._cut_words((t or "").lower()) for t in texts]
         fresh = {w for words in cut for w in words}.difference(self._words)

@@ -41,7 +41,7 @@ CROWD = 20_000
 #: Bytes of fragments whose suffix order is built together.
 STEP = 6 << 20
 #: Windows named at once.
-SPAN = 4 << 20
+SPAN = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 
@@ -226,7 +226,7 @@ def _named(length: int, gram: int, unpack):
 _NAMED = "id long, n long, name long, first long, windows long, place long"
 _CUT = "id long, first long, k1 long, k2 long, name long, lead long, windows long, n long, fragment binary"
 #: Fragments that a task remembers to have sent.
-SENT = 500_000
+SENT = 200_000
 
 
 def _cut(length: int, unpack):
@@ -335,6 +335,7 @@ def covered(texts: DataFrame, length: int = 400, gram: int = GRAM, crowd: int =
     """
     runs = stored(texts.select("id", "n", "z").mapInArrow(_named(length, gram, _unpacked), _NAMED), "runs")
     names = runs.groupBy("name").agg(F.sum("n").alias("all")).where("all > 1").select("name")
+    names = stored(names, "names")  # with an exchange of its own on both sides, Spark can split a frequent name
     own = runs.join(names, "name", "left_semi").groupBy("id").agg(F.collect_list(F.struct("n", "name", "first", "windows", "place")).alias("runs"))
     cut = stored(texts.select("id", "z").join(own, "id").mapInArrow(_cut(length, _unpacked), _CUT), "fragments")
     found = _hits(cut, length, crowd, "hits")
