@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscle.functions.text import tokens
 
@@ -31,7 +32,7 @@ def edit_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _word_errors(truth: pd.Series, said: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(list(a), list(b)) for a, b in zip(truth, said, strict=True)], dtype="int64")
 

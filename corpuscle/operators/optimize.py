@@ -33,19 +33,16 @@ def optimum(items: DataFrame, capacity: int) -> DataFrame:
     return lists.select(best_value(F.col("items"), capacity).alias("value"))
 
 
-def by_density(tie: str = "item_id") -> Window:
-    """Items by density, highest first, ties by the item."""
-    return Window.orderBy(F.desc("density"), tie)
-
-
 def bound(items: DataFrame, capacity: int) -> DataFrame:
-    """(bound): the value if the first item by density that does not fit were taken in part. Items are summed up by
-    density first, so that the one ordered pass sees distinct densities only."""
-    rows = items.withColumn("density", density(F.col("v"), F.col("w"))).groupBy("density").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
+    """(bound): the value if the first item by density that does not fit were taken in part; weightless items count in
+    full. Items are summed up by density, and as each sum weighs something, no more of them than the capacity matter."""
+    rows = items.where(F.col("w") > 0).withColumn("density", density(F.col("v"), F.col("w"))).groupBy("density").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
+    rows = rows.orderBy(F.desc("density")).limit(capacity + 1)
     before = F.coalesce(F.sum("w").over(Window.orderBy(F.desc("density")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("before", before).where(F.col("before") < capacity)
     part = F.when(F.col("before") + F.col("w") <= capacity, F.col("v").cast("double")).otherwise((capacity - F.col("before")) * F.col("density"))
-    return rows.agg(F.round(F.sum(part), 6).alias("bound"))
+    free = items.where("w = 0").select(F.col("v").cast("double").alias("x"))
+    return rows.select(part.alias("x")).union(free).agg(F.round(F.sum("x"), 6).alias("bound"))
 
 
 def greedy(items: DataFrame, capacity: int) -> DataFrame:

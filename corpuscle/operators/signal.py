@@ -50,7 +50,8 @@ def features(df: DataFrame, key: str = "id", samples: str = "samples", rate: str
         for b in batches:
             for k, x, r in zip(b[key], b[samples], b[rate], strict=True):
                 m = log_mel(resample(np.asarray(x if x is not None else [], float), int(r)))
-                yield pd.DataFrame({key: [k] * len(m), "frame": range(len(m)), "mel": list(m)})
+                if len(m):
+                    yield pd.DataFrame({key: [k] * len(m), "frame": range(len(m)), "mel": list(m)})
 
     return df.select(key, samples, rate).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, frame int, mel array<float>")
 

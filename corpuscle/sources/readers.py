@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscle.functions.text import clean_html, stem, strip, suffix
 from corpuscle.operators.files import probably_binary
@@ -69,7 +70,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 def decoder(encodings: tuple[str, ...] = SHORT_LADDER):
     """A function of binary columns: the text in the first encoding that fits."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decoded(content: pd.Series) -> pd.Series:
         def one(x: bytes | None) -> str | None:
             for name in encodings if x is not None else ():
@@ -84,7 +85,7 @@ def decoder(encodings: tuple[str, ...] = SHORT_LADDER):
     return decoded
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_replacing(content: pd.Series) -> pd.Series:
     """UTF-8, with U+FFFD for what is none."""
     return content.map(lambda x: None if x is None else x.decode("utf-8", "replace"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.timing import cue
 
 
+def _line(c: Column) -> Column:
+    """The text without a line end after it, as the sink adds one."""
+    return F.when(F.endswith(c, F.lit("\n")), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+
+
 def jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines with all fields, null ones too; mode `append` adds to what is there."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -24,22 +29,22 @@ def subtitles(cues: DataFrame, doc: str, path: str) -> None:
     """A folder for each document with its cues (doc, cue, start, end, text) as one text."""
     one = cue(F.col("cue"), F.col("start"), F.col("end"), F.col("text"))
     whole = cues.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue", one.alias("s")))), lambda x: x["s"]), "").alias("value"))
-    whole.write.partitionBy(doc).option("lineSep", "").text(path)
+    whole.withColumn("value", _line(F.col("value"))).write.partitionBy(doc).text(path)
 
 
 def packed(df: DataFrame, root: str, path: str) -> None:
     """A folder for each root with its packed text."""
-    df.select(root, F.col("packed").alias("value")).write.partitionBy(root).option("lineSep", "").text(path)
+    df.select(root, _line(F.col("packed")).alias("value")).write.partitionBy(root).text(path)
 
 
 def vocabulary(vocab: DataFrame, path: str) -> None:
     """The tokens by id, as a JSON list."""
     tokens = F.transform(F.array_sort(F.collect_list(F.struct("token_id", "token"))), lambda x: x["token"])
-    vocab.agg(F.to_json(tokens).alias("value")).write.option("lineSep", "").text(path)
+    vocab.agg(F.to_json(tokens).alias("value")).write.text(path)
 
 
 def solution(chosen: DataFrame, path: str) -> None:
     """The number of chosen items, then their ids in order."""
     ids = F.array_sort(F.collect_list("item_id"))
-    text = F.concat(F.size(ids).cast("string"), F.lit("\n"), F.array_join(F.transform(ids, lambda x: x.cast("string")), " "), F.lit("\n"))
-    chosen.agg(text.alias("value")).write.option("lineSep", "").text(path)
+    text = F.concat(F.size(ids).cast("string"), F.lit("\n"), F.array_join(F.transform(ids, lambda x: x.cast("string")), " "))
+    chosen.agg(text.alias("value")).write.text(path)
