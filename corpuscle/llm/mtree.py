@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.shared import stored
 
-#: Vectors of a block, entries of a page, and queries that share a stream past a tree.
-BLOCK, PAGE, CHUNK = 16_384, 128, 20_000
+#: Components of a block's vectors, entries of a page, and queries that share a stream past a tree.
+BLOCK, PAGE, CHUNK = 1 << 22, 512, 1_000
 #: Largest component for which sums of products are exact in floats of 64 bits and 4096 dimensions.
 LARGEST = 1 << 20
 
@@ -92,6 +92,12 @@ class Tree:
         self.pages.append(page)
         return len(self.pages) - 1
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vectors": self.vectors.astype(np.int32)}  # no component is beyond LARGEST
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"vectors": state["vectors"].astype(np.float64)}
+
     @staticmethod
     def _split(own: np.ndarray) -> list[np.ndarray]:
         """Rows by their nearest routing vector; routing vectors are refined a few times from spread rows."""
@@ -172,10 +178,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, <key>, score) of the rows of df for each row of queries; both have the key and the vector."""
+def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
+    """(query_id, rank, <key>, score) of the rows of df for each row of queries; both have the key and the vector.
+
+    block: vectors of a tree; by default as many as have BLOCK components together, 1024 at least.
+    """
     base = stored(quantised(df, scale, key, vector).distinct(), "vectors")
     asked = stored(quantised(queries, scale, key, vector).distinct(), "queries")
+    if block is None:
+        one = base.select(F.size("v").alias("n")).first()
+        block = max(1024, BLOCK // max(1, one["n"] if one else 1))
     blocks = max(1, -(-base.count() // block))
     chunks = max(1, -(-asked.count() // CHUNK))
 
