@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.llm.shared import lean
+
 WORDS = 64
 #: Bytes of text that are described at once.
 STEP = 1 << 20
@@ -171,7 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array(made, pa.binary())], ["k", "y", "x"])
 
     rows = documents.select(F.col(key).alias("_d"), F.col(text).alias("_text")).join(F.broadcast(known), F.col("_d") == F.col("_k"))
-    rows = rows.select("_k", "_y", "_text").mapInArrow(described, "k long, y int, x binary").toArrow()
+    rows = rows.select("_k", "_y", "_text").mapInArrow(lean(described), "k long, y int, x binary").toArrow()
     order = np.argsort(rows["k"].to_numpy(), kind="stable")
     xs = rows["x"].to_pylist()
     bags = [np.frombuffer(xs[i], np.float16).reshape(-1, WIDTH) for i in order]
@@ -185,7 +187,7 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     kept = [f.name for f in df.schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             texts = [(t or "").encode("utf-8", "replace") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             made, at = [], 0
             while at < len(texts):
@@ -197,4 +199,4 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
                 at = end
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in kept), pa.array(np.concatenate(made) if made else np.zeros(0))], [*kept, name])
 
-    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(lean(run), T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, T.DoubleType())]))

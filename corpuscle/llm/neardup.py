@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.llm.components import components
-from corpuscle.llm.shared import stored, texts_by_id, unzipped
+from corpuscle.llm.shared import lean, stored, texts_by_id, unzipped
 from corpuscle.llm.simhash import BLOCK, GOLAY, shingle_hashes
 
 SEGMENTS = 5
@@ -185,9 +185,9 @@ def _paired(block: int):
 
 def candidates(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of distinct words of (word, p1, p2) rows that may belong to near-duplicates."""
-    keyed = words.select("word", "p1", "p2").mapInArrow(_keyed, "key int, part int, word long")
+    keyed = words.select("word", "p1", "p2").mapInArrow(lean(_keyed), "key int, part int, word long")
     order = ["key", "part"]
-    found = stored(keyed.repartition("key").sortWithinPartitions(*order).mapInArrow(_paired(block), _FOUND), "candidates")
+    found = stored(keyed.repartition("key").sortWithinPartitions(*order).mapInArrow(lean(_paired(block)), _FOUND), "candidates")
     small, large = found.where("block < 0").select("a", "b"), found.where("block >= 0")
     blocks = large.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     pairs = F.expr("explode(transform(sequence(0, blocks - 1), j -> least(block, j) * blocks + greatest(block, j)))")
@@ -215,7 +215,7 @@ def _verified(width: int, similarity: float):
 
 def groups(base: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(id, group) of (id, sha, z) rows: the smallest id that a row reaches through near-duplicates."""
-    prints = stored(base.select("id", "sha", "z").mapInArrow(_printed(width), "id long, sha binary, word long, p1 long, p2 long"), "prints")
+    prints = stored(base.select("id", "sha", "z").mapInArrow(lean(_printed(width)), "id long, sha binary, word long, p1 long, p2 long"), "prints")
     # Texts of one word stand under the first of them: copies of it as they are, others if they are similar.
     heads = prints.groupBy("word").agg(F.min_by(F.struct("id", "sha", "p1", "p2"), "id").alias("h")).select("word", F.col("h.id").alias("head"), F.col("h.sha").alias("head_sha"), "h.p1", "h.p2")
     heads = stored(heads, "heads")
@@ -225,7 +225,7 @@ def groups(base: DataFrame, width: int = 5, similarity: float = 0.8, block: int
     under = stored(under.select(F.col("head").alias("a"), F.col("id").alias("b"), (F.col("sha") == F.col("head_sha")).alias("same")), "under")
     pairs = near.union(under.where("not same").select(F.col("a").alias("x"), F.col("b").alias("y")))
     texts = pairs.join(base.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x").join(base.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
-    links = texts.select("x", "y", "zx", "zy").mapInArrow(_verified(width, similarity), "a long, b long").union(under.where("same").select("a", "b"))
+    links = texts.select("x", "y", "zx", "zy").mapInArrow(lean(_verified(width, similarity)), "a long, b long").union(under.where("same").select("a", "b"))
     found = stored(components(links, "a", "b"), "groups")
     return base.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
 
@@ -245,6 +245,6 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*names, "_text"])
 
     kinds = [T.StructField(n, f.dataType) for n, f in zip(names, columns, strict=True)]
-    out = base.join(keep, "id", "left_semi").select(*names, "z").mapInArrow(opened, T.StructType([*kinds, T.StructField("_text", T.StringType())]))
+    out = base.join(keep, "id", "left_semi").select(*names, "z").mapInArrow(lean(opened), T.StructType([*kinds, T.StructField("_text", T.StringType())]))
     at = {f.name: n for f, n in zip(columns, names, strict=True)} | {text: "_text"}
     return out.select(*(F.col(at[c]).alias(c) for c in df.columns))

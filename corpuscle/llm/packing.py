@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.llm.bpe import SPELLED_OUT, spelled_out
-from corpuscle.llm.shared import stored
+from corpuscle.llm.shared import lean, stored
 
 #: Words and pieces after which a worker's memos are emptied, and the longest word kept.
-WORDS, KNOWN_PIECES, LONGEST_KEPT = 200_000, 400_000, 48
+WORDS, KNOWN_PIECES, LONGEST_KEPT = 150_000, 300_000, 48
 #: The pieces that the tokenizer's first step cuts a text into, after it is in lower case and composed.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: No code point below this is composed with another or changes by composition.
@@ -126,7 +126,7 @@ def pieces(df: DataFrame, path: str, end: int, capacity: int, key: str = "doc_id
                     [key, "piece", "start", "length", "ids"],
                 )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(lean(run), schema)
 
 
 class Planner:

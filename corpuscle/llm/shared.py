@@ -5,10 +5,12 @@ Results are lazy, so the tables they read stay in the shared folder until its ow
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -50,6 +52,22 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def lean(f: Callable) -> Callable:
+    """f, a function of batches, whose worker gives freed memory back to the system when a task is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return run
+
+
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes its hash, its length in bytes, and its bytes in zstd; null counts as empty."""
     z = zstandard.ZstdCompressor(level=3)
@@ -68,7 +86,7 @@ def texts_by_id(df: DataFrame, text: str, columns: list[T.StructField], name: st
     kinds = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(columns)]
     made = [T.StructField("sha", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("z", T.BinaryType())]
     rows = df.select(*(F.col(f"`{f.name}`").alias(k.name) for f, k in zip(columns, kinds, strict=True)), F.col(f"`{text}`").cast("string").alias("_text"))
-    return bucketed(rows.mapInArrow(zipped, T.StructType([*kinds, *made])).withColumn("id", F.monotonically_increasing_id()), "id", name)
+    return bucketed(rows.mapInArrow(lean(zipped), T.StructType([*kinds, *made])).withColumn("id", F.monotonically_increasing_id()), "id", name)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

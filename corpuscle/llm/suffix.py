@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import stored, texts_by_id, unzipped
+from corpuscle.llm.shared import lean, stored, texts_by_id, unzipped
 
 GRAM = 100
 #: Rows of fragments of one name above which the name is split.
@@ -324,7 +324,7 @@ def _ordered(length: int, crowd: int):
 
 def _hits(cut: DataFrame, length: int, crowd: int, name: str) -> DataFrame:
     rows = cut.where("n > 0").select("name", "k1", "k2", "lead", "windows", "n", "fragment")
-    return stored(rows.repartition("name").sortWithinPartitions("name", "k1", "k2").mapInArrow(_ordered(length, crowd), _HITS), name)
+    return stored(rows.repartition("name").sortWithinPartitions("name", "k1", "k2").mapInArrow(lean(_ordered(length, crowd)), _HITS), name)
 
 
 def covered(texts: DataFrame, length: int = 400, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -333,11 +333,11 @@ def covered(texts: DataFrame, length: int = 400, gram: int = GRAM, crowd: int =
     texts: id (a distinct number), z (the text's bytes in zstd), n (at how many places it stands; 2 stands for more).
     Texts without such bytes have no row. Spans may overlap; they are not sorted.
     """
-    runs = stored(texts.select("id", "n", "z").mapInArrow(_named(length, gram, _unpacked), _NAMED), "runs")
+    runs = stored(texts.select("id", "n", "z").mapInArrow(lean(_named(length, gram, _unpacked)), _NAMED), "runs")
     names = runs.groupBy("name").agg(F.sum("n").alias("all")).where("all > 1").select("name")
     names = stored(names, "names")  # with an exchange of its own on both sides, Spark can split a frequent name
     own = runs.join(names, "name", "left_semi").groupBy("id").agg(F.collect_list(F.struct("n", "name", "first", "windows", "place")).alias("runs"))
-    cut = stored(texts.select("id", "z").join(own, "id").mapInArrow(_cut(length, _unpacked), _CUT), "fragments")
+    cut = stored(texts.select("id", "z").join(own, "id").mapInArrow(lean(_cut(length, _unpacked)), _CUT), "fragments")
     found = _hits(cut, length, crowd, "hits")
     hits, crowded = found.where("n = 0").select("k1", "k2", "begin", "stop"), found.where("n > 0")
     if not crowded.isEmpty():
@@ -409,5 +409,5 @@ def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_byte
     kinds = [T.StructField(n, f.dataType) for n, f in zip(names, columns, strict=True)]
     added = [T.StructField(n, T.LongType()) for n in made[:3]] + [T.StructField("kept_sha256", T.StringType())]
     added += [T.StructField("kept", T.BinaryType())] if keep_bytes else []
-    out = rows.mapInArrow(_removed(length, len(names), keep_bytes), T.StructType([*kinds, *added]))
+    out = rows.mapInArrow(lean(_removed(length, len(names), keep_bytes)), T.StructType([*kinds, *added]))
     return out.select(*(F.col(n).alias(f.name) for f, n in zip(columns, names, strict=True)), *(f.name for f in added))
