@@ -78,7 +78,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = edges.mapInArrow(_contracted, "child long, parent long").checkpoint()
     while True:
         edges = _under(edges).checkpoint()
-        if edges.join(edges.select(F.col("parent").alias("child")), "child", "left_semi").isEmpty():
-            several = edges.groupBy("child").agg(F.min("parent").alias("parent"))
+        # Stars: no child is a parent or has two of them.
+        ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("parent", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or up = 1 and down = 1").isEmpty():
             roots = edges.select(F.col("parent").alias("node")).distinct()
-            return several.select(F.col("child").alias("node"), F.col("parent").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+            return edges.select(F.col("child").alias("node"), F.col("parent").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows, no rows, and clashing names."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -147,6 +148,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
+def test_components_of_links_in_tasks_of_their_own(spark):
+    def found(links):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(links, len(links)), "a long, b long")
+        return sorted((r.node, r.component) for r in components.components(df, "a", "b").collect())
+
+    assert found([(5, 4), (4, 3), (3, 1), (5, 2)]) == [(x, 1) for x in range(1, 6)]
+    r = random.Random(8)
+    for _ in range(2):
+        ids = r.sample(range(100), 12)
+        links = [*zip(ids[:5], ids[1:6], strict=True), *zip(ids[6:11], ids[7:], strict=True)]
+        assert found(links) == sorted(components.forest(links).items())
+
+
 @pytest.mark.parametrize("block", [8192, 4])
 def test_near_duplicates(spark, block):
     base = words(9, 300).split()
