@@ -5,10 +5,12 @@ Texts are near-duplicates if the sets of their shingles of `width` words have a
 fingerprint has five segments of 23 bits besides a word of 64. A key joins nearby codewords of two segments; of two
 segments of a pair at 0.8 each has a nearby codeword in common in about 58 of 100 cases, so two of five have in 90
 of 100, at 0.9 in more than 99. Rows that meet and whose words differ in at most `WORD_DISTANCE` bits are candidates,
-and their similarity is then computed on whole texts. Equal texts are grouped before, texts of an equal word after.
+and their similarity is then computed on whole texts. Texts of equal shingles are grouped before; texts of an equal
+word have a key of their own.
 
 Rows of a key are compared as they pass, as in the module of fingerprints. Up to `PAIRWISE` rows all candidates are
-reported; beyond that, those that join what was apart so far, the most similar first, which is what a group needs.
+reported; beyond that, at first those that join what was apart so far. As some of them fail on whole texts, all other
+candidates of such keys whose ends the verified links leave in different groups are then verified, too.
 
 Rows: null and empty texts have no shingles and are duplicates of each other only; a null text that stays comes out
 empty. A text of fewer words is one shingle. Rows with a null key are grouped too, and lend a group no name. An empty
@@ -17,6 +19,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -68,18 +71,26 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
 def _printed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = (unzipped(z).decode("utf-8", "replace") for z in b.column(2).to_pylist())
-            made = np.array([wide_print(shingle_set(t, width)) for t in texts], np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(3))], ["id", "sha", "word", "p1", "p2"])
+            made, names = [], []
+            for z in b.column(1).to_pylist():
+                own = shingle_set(unzipped(z).decode("utf-8", "replace"), width)
+                made.append(wide_print(own))
+                names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+            bits = np.array(made, np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(3))], ["id", "shingles", "word", "p1", "p2"])
 
     return run
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mask = np.uint64((1 << 23) - 1)
+
+    def rows_of(key, word, unit) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.zeros(len(key), np.int32)), pa.array(word), pa.array(unit)], ["key", "part", "word", "unit"])
+
     for b in batches:
         for at in range(0, b.num_rows, 2000):
-            word, p1, p2 = (b.column(i).slice(at, 2000).to_numpy(zero_copy_only=False) for i in range(3))
+            word, p1, p2, unit = (b.column(i).slice(at, 2000).to_numpy(zero_copy_only=False) for i in range(4))
             x, y = p1.view(np.uint64), p2.view(np.uint64)
             parts = [x & mask, x >> np.uint64(23) & mask, y & mask, y >> np.uint64(23) & mask, x >> np.uint64(46) | (y >> np.uint64(46) & np.uint64(31)) << np.uint64(18)]
             near = [GOLAY.nearby(p.astype(np.int64)) for p in parts]
@@ -92,16 +103,17 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append(ok)
                         keys.append(kind << 24 | a[ok, p] << 12 | c[ok, q])
                 key, row = np.concatenate(keys), np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.zeros(len(key), np.int32)), pa.array(word[row])], ["key", "part", "word"])
+                yield rows_of(key, word[row], unit[row])
+            yield rows_of(kind + 1 << 24 | (word ^ word >> 24 ^ word >> 48) & (1 << 24) - 1, word, unit)
 
 
-def _candidates(group: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of words within reach of each other in a group (sorted): all of a small group, a forest of a large one."""
+def _candidates(group: np.ndarray, word: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of units whose words are within reach of each other in a group (sorted): all of a small group, a forest of a large one."""
     size = np.bincount(group)[group]
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for small in (True, False):
         own = np.flatnonzero((size <= PAIRWISE) == small)
-        g, w = group[own], word[own]
+        g, w, u = group[own], word[own], unit[own]
         label = np.arange(len(own))
         begins, ends = np.searchsorted(g, g), np.searchsorted(g, g, "right")
         for limit in (WORD_DISTANCE,) if small else _STEPS:
@@ -111,18 +123,17 @@ def _candidates(group: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.nda
                 rows = rows[rows + d < ends[rows]]
                 a, b = rows, rows + d
                 ok = np.bitwise_count((w[a] ^ w[b]).view(np.uint64)) <= limit
-                ok &= w[a] != w[b]
                 if not small:
                     ok &= label[a] != label[b]
                 a, b = a[ok], b[ok]
                 if small:
-                    out.append((w[a], w[b]))
+                    out.append((u[a], u[b]))
                     continue
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     if label[i] != label[j]:
                         mine = label[begins[i] : ends[i]]
                         mine[mine == label[j]] = label[i]
-                        out.append((w[i : i + 1], w[j : j + 1]))
+                        out.append((u[i : i + 1], u[j : j + 1]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -136,12 +147,18 @@ def _found(key, part, a, b, block) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(part, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(block, pa.int32())], ["key", "part", "a", "b", "block"])
 
 
+def _group(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+
+
 def _paired(block: int):
-    """Candidates of sorted (key, part, word) rows; rows of a part above the block size come back with a block number."""
+    """Candidates of sorted (key, part, word, unit) rows, as block -1; rows of keys with more than `PAIRWISE` come back
+    as block -2, those of a part above the block size with a block number."""
 
-    def links(held: list[np.ndarray], seen: set[int]) -> pa.RecordBatch:
-        key, part, word = held
-        a, b = _candidates(np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])), word)
+    def links(held: list[np.ndarray], seen: set[int]) -> Iterator[pa.RecordBatch]:
+        key, part, word, unit = held
+        group = _group(key, part)
+        a, b = _candidates(group, word, unit)
         if len(a):
             pairs = np.unique(np.stack([a, b], 1), axis=0)
             if len(seen) > 200_000:
@@ -150,20 +167,23 @@ def _paired(block: int):
             seen.update(new)
             a, b = (np.array([p[i] for p in new], np.int64) for i in (0, 1))
         z = np.zeros(len(a), np.int32)
-        return _found(z, z, a, b, z - 1)
+        yield _found(z, z, a, b, z - 1)
+        many = np.bincount(group)[group] > PAIRWISE
+        if block and many.any():
+            yield _found(key[many], part[many], unit[many], word[many], np.full(many.sum(), -2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         over, before, seen = None, 0, set()
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             while len(held[0]):
-                key, part, word = held
+                key, part, word, unit = held
                 if over is not None:
                     n = int(np.argmax(np.concatenate([(key != over[0]) | (part != over[1]), [True]])))
                     if n:
-                        yield _found(key[:n], part[:n], word[:n], word[:n], (before + np.arange(n)) // block)
+                        yield _found(key[:n], part[:n], unit[:n], word[:n], (before + np.arange(n)) // block)
                     before += n
                     held = [x[n:] for x in held]
                     if len(held[0]):
@@ -171,29 +191,67 @@ def _paired(block: int):
                     continue
                 last = int(np.argmax((key == key[-1]) & (part == part[-1])))
                 if last:
-                    yield links([x[:last] for x in held], seen)
+                    yield from links([x[:last] for x in held], seen)
                     held = [x[last:] for x in held]
                 if block and len(held[0]) > block:
                     over, before = (int(held[0][0]), int(held[1][0])), 0
                     continue
                 break
         if held is not None and len(held[0]):
-            yield links(held, seen)
+            yield from links(held, seen)
 
     return run
 
 
-def candidates(words: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of distinct words of (word, p1, p2) rows that may belong to near-duplicates."""
-    keyed = words.select("word", "p1", "p2").mapInArrow(lean(_keyed), "key int, part int, word long")
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All candidates with ends of different labels, of sorted (key, part, word, unit, label) rows."""
+
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, part, word, unit, label = held
+        group = _group(key, part)
+        order = np.lexsort((label, group))
+        word, unit, label = word[order], unit[order], label[order]
+        run = _group(group, label)
+        ends, rows, other = np.searchsorted(group, group, "right"), np.arange(len(group)), np.searchsorted(run, run, "right")
+        out, n = [], 0
+        while len(rows):
+            more = other < ends[rows]
+            rows, other = rows[more], other[more]
+            ok = np.bitwise_count((word[rows] ^ word[other]).view(np.uint64)) <= WORD_DISTANCE
+            if ok.any():
+                a, b = unit[rows[ok]], unit[other[ok]]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                n += len(a)
+            if out and (n > 200_000 or not len(rows)):
+                found = np.unique(np.concatenate(out), axis=0)
+                out, n = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], ["a", "b"])
+            other = other + 1
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]) and (last := int(np.argmax((held[0] == held[0][-1]) & (held[1] == held[1][-1])))):
+            yield from pairs([x[:last] for x in held])
+            held = [x[last:] for x in held]
+    if held is not None and len(held[0]):
+        yield from pairs(held)
+
+
+def candidates(units: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Of (word, p1, p2, unit) rows: (a, b), pairs of units that may be near-duplicates, and (key, part, word, unit),
+    the rows of keys of which these are not all pairs."""
+    keyed = units.select("word", "p1", "p2", "unit").mapInArrow(lean(_keyed), "key int, part int, word long, unit long")
     order = ["key", "part"]
     found = stored(keyed.repartition("key").sortWithinPartitions(*order).mapInArrow(lean(_paired(block)), _FOUND), "candidates")
-    small, large = found.where("block < 0").select("a", "b"), found.where("block >= 0")
+    small, large = found.where("block = -1").select("a", "b"), found.where("block >= 0")
     blocks = large.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     pairs = F.expr("explode(transform(sequence(0, blocks - 1), j -> least(block, j) * blocks + greatest(block, j)))")
-    dealt = large.join(blocks, "key").select("key", pairs.alias("part"), F.col("a").alias("word"))
+    dealt = large.join(blocks, "key").select("key", pairs.alias("part"), F.col("b").alias("word"), F.col("a").alias("unit"))
     rest = dealt.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(_paired(0), _FOUND)
-    return small.union(rest.select("a", "b")).distinct()
+    many = found.where("block = -2").select("key", "part", F.col("b").alias("word"), F.col("a").alias("unit"))
+    return small.union(rest.select("a", "b")).distinct(), many.union(dealt)
 
 
 def _verified(width: int, similarity: float):
@@ -214,18 +272,24 @@ def _verified(width: int, similarity: float):
 
 
 def groups(base: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(id, group) of (id, sha, z) rows: the smallest id that a row reaches through near-duplicates."""
-    prints = stored(base.select("id", "sha", "z").mapInArrow(lean(_printed(width)), "id long, sha binary, word long, p1 long, p2 long"), "prints")
-    # Texts of one word stand under the first of them: copies of it as they are, others if they are similar.
-    heads = prints.groupBy("word").agg(F.min_by(F.struct("id", "sha", "p1", "p2"), "id").alias("h")).select("word", F.col("h.id").alias("head"), F.col("h.sha").alias("head_sha"), "h.p1", "h.p2")
+    """(id, group) of (id, z) rows: the smallest id that a row reaches through near-duplicates."""
+    prints = stored(base.select("id", "z").mapInArrow(lean(_printed(width)), "id long, shingles binary, word long, p1 long, p2 long"), "prints")
+    # Texts of equal shingles stand under the first of them.
+    heads = prints.groupBy("shingles").agg(F.min_by(F.struct("id", "word", "p1", "p2"), "id").alias("h")).select("shingles", F.col("h.id").alias("unit"), "h.word", "h.p1", "h.p2")
     heads = stored(heads, "heads")
-    near = candidates(heads, block)
-    near = near.join(heads.select(F.col("word").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("word").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    under = prints.select("id", "sha", "word").join(heads.select("word", "head", "head_sha"), "word").where("id != head")
-    under = stored(under.select(F.col("head").alias("a"), F.col("id").alias("b"), (F.col("sha") == F.col("head_sha")).alias("same")), "under")
-    pairs = near.union(under.where("not same").select(F.col("a").alias("x"), F.col("b").alias("y")))
-    texts = pairs.join(base.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x").join(base.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
-    links = texts.select("x", "y", "zx", "zy").mapInArrow(lean(_verified(width, similarity)), "a long, b long").union(under.where("same").select("a", "b"))
+    same = prints.select("id", "shingles").join(heads.select("shingles", "unit"), "shingles").where("id != unit").select(F.col("unit").alias("a"), F.col("id").alias("b"))
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        texts = pairs.join(base.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(base.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+        return stored(texts.select("a", "b", "za", "zb").mapInArrow(lean(_verified(width, similarity)), "a long, b long"), name)
+
+    near, crowded = candidates(heads, block)
+    near = stored(near, "near")
+    links = similar(near, "links")
+    labels = components(links, "a", "b").select(F.col("node").alias("unit"), F.col("component").alias("label"))
+    apart = crowded.join(labels, "unit", "left").select("key", "part", "word", "unit", F.coalesce("label", "unit").alias("label"))
+    apart = apart.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_across), "a long, b long").distinct()
+    links = links.union(similar(apart.join(near, ["a", "b"], "left_anti"), "further")).union(same)
     found = stored(components(links, "a", "b"), "groups")
     return base.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpuscle.llm import jpeg, mil, mtree, packing, simhash, suffix
+from corpuscle.llm import jpeg, mil, mtree, neardup, packing, simhash, suffix
 from corpuscle.llm.bpe import Codec, Utf8Stream
 from corpuscle.llm.components import forest
 
@@ -233,3 +234,27 @@ def test_merged_spans():
     begin, stop = suffix.merged(np.array([5, 0, 3, 20]), np.array([9, 4, 6, 21]))
     assert list(zip(begin.tolist(), stop.tolist(), strict=True)) == [(0, 9), (20, 21)]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_a_crowd_loses_no_pair_to_links_that_fail():
+    r = random.Random(3)
+    z = r.getrandbits(62)
+    far: list[int] = []
+    while len(far) < 60:
+        w = r.getrandbits(62)
+        if all((w ^ x).bit_count() > neardup.WORD_DISTANCE for x in far) and (w ^ z).bit_count() > neardup.WORD_DISTANCE + 8:
+            far.append(w)
+    # x-z and z-y differ in 8 bits and come first, x-y in 10; say that only x-y is similar on whole texts.
+    words = np.array([z ^ 0b11111111, z ^ (0b111 | 0b11111 << 20), z] + far, np.int64)
+    n = len(words)
+    batch = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f"c{i}" for i in range(len(columns))])
+    zero, unit = np.zeros(n, np.int32), np.arange(n)
+    found = pa.Table.from_batches(list(neardup._paired(8192)([batch(zero, zero, words, unit)]))).to_pylist()
+    first = {(x["a"], x["b"]) for x in found if x["block"] == -1}
+    assert first == {(0, 2), (1, 2)}
+    many = [x for x in found if x["block"] == -2]
+    key, word, own = zero[: len(many)], np.array([x["b"] for x in many]), np.array([x["a"] for x in many])
+    pairs = lambda label: {p for x in neardup._across([batch(key, key, word, own, label)]) for p in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)}
+    assert pairs(own) == {(0, 1), (0, 2), (1, 2)}
+    assert pairs(np.where(own < 2, 0, own)) == {(0, 2), (1, 2)}
+    assert pairs(0 * own) == set()
