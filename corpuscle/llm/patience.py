@@ -9,7 +9,8 @@ votes for the place where the template would begin, and windows with enough vote
 in a text of any length. A notice is reported from `coverage` (0.8) on; of overlapping ones of a template the best.
 
 Rows: null and empty texts have no notices and so no rows; repeated rows are scanned each on its own; equal coverage
-goes to the earlier place. An empty table gives an empty table. Only the key and text columns are read.
+goes to the shorter, then the earlier place. An empty table gives an empty table. Only the key and text columns are
+read.
 """
 
 from __future__ import annotations
@@ -145,18 +146,26 @@ class Scanner:
         by: dict[int, set[int]] = defaultdict(set)
         for s, j in starts:
             by[s // slack].add(j)
-        found = []
+        voted = {s for s, _ in starts}
+        found = set()
         for k in by:
             if len(by[k] | by.get(k + 1, set())) < self._need[t]:
                 continue
             first, last = max(0, (k - 1) * slack), min(len(own), (k + 3) * slack + len(template))
-            pairs = align(own[first:last], template)
-            share = len(pairs) / len(template)
-            if pairs and share >= self.coverage:
-                begin, end = first + pairs[0][0], first + pairs[-1][0] + 1
-                found.append((-share, begin, end, len(pairs)))
+            windows = {(first, last)}
+            near = [j for i in range(k - 2 - len(template) // slack, k + 4 + len(template) // slack) for j in by.get(i, ())]
+            # Words of a neighbouring copy are no anchors; the voted starts of a copy's first and last words cut it out.
+            if len(near) > len(set(near)):
+                begins = [s for s in range(k * slack, (k + 2) * slack) if s in voted]
+                windows |= {(max(0, s), min(len(own), e + len(template))) for s in begins for e in begins if abs(e - s) <= slack}
+            for first, last in windows:
+                pairs = align(own[first:last], template)
+                share = len(pairs) / len(template)
+                if pairs and share >= self.coverage:
+                    begin, end = first + pairs[0][0], first + pairs[-1][0] + 1
+                    found.add((-share, begin, end, len(pairs)))
         kept: list[tuple[float, int, int, int]] = []
-        for x in sorted(found):
+        for x in sorted(found, key=lambda x: (x[0], x[2] - x[1], x[1])):
             if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
                 kept.append(x)
         return [(self.names[t], begin, end - begin, n, -share) for share, begin, end, n in kept]

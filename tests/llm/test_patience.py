@@ -61,6 +61,18 @@ def test_notices_are_found_wherever_they_stand():
         assert found[1][4] <= common(torn, own) / len(own) + 1e-9
 
 
+def test_adjacent_notices():
+    scanner = Scanner(patience.TEMPLATES)
+    for name, text in patience.TEMPLATES.items():
+        own = words(text)
+        for gap in range(9):
+            for copies in (2, 3, 8):
+                doc = [w for i in range(copies) for w in [*(f"file{i}x{g}" for g in range(gap)), *own]]
+                # Plain comparison: wherever the whole notice stands.
+                want = [(name, i, len(own), len(own), 1.0) for i in range(len(doc)) if doc[i : i + len(own)] == own]
+                assert [x for x in scanner.scan(" ".join(doc)) if x[0] == name] == want, (name, gap, copies)
+
+
 def test_no_notice_in_plain_texts():
     scanner = Scanner(patience.TEMPLATES)
     for text in (None, "", "license", "the the the of under version", "software " * 5000, "permission is granted to walk under the tree"):
