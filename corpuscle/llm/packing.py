@@ -15,6 +15,7 @@ names do no harm. All columns but `text` may be null and are returned as they ar
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -23,80 +24,176 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.llm.bpe import SPELLED_OUT, spelled_out
 from corpuscle.llm.shared import lean, stored
+from corpuscle.llm.words import LOWER, WordTable, laid_out, word_bounds
 
-#: Words and pieces after which a worker's memos are emptied, and the longest word kept.
-WORDS, KNOWN_PIECES, LONGEST_KEPT = 150_000, 300_000, 48
+#: Entries of a worker's table of words, and the longest piece that is merged in numpy.
+WORDS, LONGEST = 1 << 20, 32
 #: The pieces that the tokenizer's first step cuts a text into, after it is in lower case and composed.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: No code point below this is composed with another or changes by composition.
 COMPOSED = SPELLED_OUT
+#: Bytes of text that are encoded at once.
+STEP = 1 << 20
+
+
+class PieceMerges:
+    """Byte pair encoding of many pieces at once: each round merges the best pair of every piece, the first of equals."""
+
+    NONE = 1 << 30
+    BITS = 18
+
+    def __init__(self, vocab: dict[str, int], merges: list[list[str]], end: str):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        name = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+        self._inner = np.array([vocab[name[b]] for b in range(256)], np.int32)
+        self._last = np.array([vocab[name[b] + end] for b in range(256)], np.int32)
+        self._made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.int64)
+        self._key, self._rank = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, self.NONE, np.int32)
+        todo = np.arange(len(keys))
+        slot = self._home(keys)
+        while len(todo):
+            free = np.flatnonzero(self._key[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self._key[slot[mine]], self._rank[slot[mine]] = keys[todo[mine]], todo[mine]
+            rest = np.ones(len(todo), bool)
+            rest[mine] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & ((1 << self.BITS) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.BITS)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge; NONE if there is none, or a side is missing (below zero)."""
+        out = np.full(len(left), self.NONE, np.int32)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))
+        keys = left[todo].astype(np.int64) << 16 | right[todo]
+        slot = self._home(keys)
+        while len(todo):
+            there = self._key[slot]
+            same = there == keys
+            out[todo[same]] = self._rank[slot[same]]
+            on = (there >= 0) & ~same
+            todo, keys, slot = todo[on], keys[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids as unsigned 16-bit numbers, of pieces of 1 to `LONGEST` bytes."""
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.array([len(p) for p in pieces])
+        for width in (4, 8, 12, 20, LONGEST):
+            rows = np.flatnonzero((sizes > (0 if width == 4 else before)) & (sizes <= width))
+            before = width
+            for at in range(0, len(rows), 8192):
+                own = rows[at : at + 8192]
+                for i, x in zip(own.tolist(), self._merged([pieces[i] for i in own.tolist()], sizes[own], width), strict=True):
+                    out[i] = x
+        return out
+
+    def _merged(self, pieces: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(-1, width)
+        column = np.arange(width)
+        ids = np.where(column < sizes[:, None], self._inner[data], -1)
+        ids[np.arange(len(ids)), sizes - 1] = self._last[data[np.arange(len(ids)), sizes - 1]]
+        ids = np.concatenate([ids, np.full((len(ids), 2), -1, ids.dtype)], axis=1)  # what moves left past the end
+        ranks = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        whole, rows = ids.copy(), np.arange(len(ids))
+        while len(rows):
+            best = ranks.argmin(1)
+            least = ranks[np.arange(len(rows)), best]
+            on = least < self.NONE
+            if not on.all():
+                whole[rows[~on]] = ids[~on]
+                rows, ids, ranks, best, least = rows[on], ids[on], ranks[on], best[on], least[on]
+                if not len(rows):
+                    break
+            every = np.arange(len(rows))
+            moved = np.minimum(np.arange(ids.shape[1]) + (np.arange(ids.shape[1]) > best[:, None]), ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, moved, 1)
+            ids[every, best] = self._made[least]
+            ranks = np.take_along_axis(ranks, np.minimum(moved[:, :-1], ranks.shape[1] - 1), 1)
+            ranks[every, best] = self._ranks(ids[every, best], ids[every, best + 1])
+            back = np.flatnonzero(best > 0)
+            ranks[back, best[back] - 1] = self._ranks(ids[back, best[back] - 1], ids[back, best[back]])
+        counts = (whole >= 0).sum(1)
+        flat, ends = whole[whole >= 0].astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer with word ends; the ids of pieces are remembered.
+    """Ids of whole texts by a tokenizer with word ends; the ids of words are kept in a table.
 
     Words end at ASCII white space, which no piece reaches across. Words of code points below COMPOSED are cut into
-    the tokenizer's own pieces, and those not met before are given to the tokenizer together. A text with any other
-    word goes to the tokenizer as it stands.
+    the tokenizer's own pieces, whose merges run for many pieces at once. A text with any other word goes to the
+    tokenizer as it stands.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        size = self._tokenizer.get_vocab_size()
-        self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self._merges = PieceMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self._cut_low = re.compile(spelled_out(PIECES)).findall
         self._high = re.compile(f"[^\0-{chr(COMPOSED - 1)}]").search
-        self._cut_words = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+        self._table = WordTable(self._learn, entries=words)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        """Remembers the ids of pieces that the tokenizer does not cut further, from one call."""
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = self._ids("\n".join(part))
-            cuts = np.flatnonzero(self._ends[ids]) + 1
-            if len(cuts) != len(part):
-                self._pieces.update((w, self._ids(w).tobytes()) for w in part)
-                continue
-            data, start = ids.tobytes(), 0
-            for w, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self._pieces[w] = data[start:end]
-                start = end
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of words; None for one that the tokenizer has to see as it stands."""
+        cut: list[list[str] | None] = []
+        for w in words:
+            text = w.decode("utf-8").lower()
+            cut.append(None if self._high(text) or "<|" in text else self._cut_low(text))
+        pieces = list({p for parts in cut if parts for p in parts})
+        raw = [p.encode() for p in pieces]
+        some = [i for i, p in enumerate(raw) if len(p) <= LONGEST]
+        known = {pieces[i]: x for i, x in zip(some, self._merges.ids([raw[i] for i in some]), strict=True)}
+        known.update((p, self._ids(p).astype("<u2").tobytes()) for p in pieces if p not in known)
+        return [None if parts is None else b"".join([known[p] for p in parts]) for parts in cut]
+
+    def encode_batch(self, texts: list[str | bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self._words) > WORDS:
-            self._words.clear()
-        if len(self._pieces) > KNOWN_PIECES:
-            self._pieces.clear()
-        cut = [self._cut_words((t or "").lower()) for t in texts]
-        fresh = {w for words in cut for w in words}.difference(self._words)
-        low = {w: self._cut_low(w) for w in fresh if not self._high(w) and "<|" not in w}
-        self._learn(list({p for parts in low.values() for p in parts}.difference(self._pieces)))
-        made = {w: b"".join([self._pieces[p] for p in parts]) for w, parts in low.items()}
-        self._words.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KEPT)
-        out, known = [], self._words
-        for text, words in zip(texts, cut, strict=True):
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:  # a very long word, or one that the tokenizer has to see as it stands
-                plain = all(w in known or w in made for w in words)
-                out.append(b"".join([known.get(w) or made.get(w, b"") for w in words]) if plain else self._ids(text).tobytes())
+        if not texts:
+            return []
+        raw, ends = laid_out([t.encode() if isinstance(t, str) else t or b"" for t in texts])
+        data = LOWER[np.frombuffer(raw, np.uint8)]
+        starts, stops = word_bounds(data)
+        entries = self._table.entries(data.tobytes(), data, starts, stops)
+        counts = self._table.counts(entries)
+        ids = self._table.ids(entries).astype("<u4").tobytes()
+        total = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))])
+        last = np.searchsorted(starts, ends)  # words up to the end of each text
+        cuts = np.concatenate([[0], 4 * total[last]]).tolist()
+        odd = np.add.accumulate(np.concatenate([[0], counts < 0]))[np.concatenate([[0], last])]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(np.diff(odd)).tolist():
+            out[i] = self._ids(texts[i] if isinstance(texts[i], str) else texts[i].decode()).tobytes()
         return out
 
 
+def bounded(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts have `size` bytes at most together, or are one row."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    at = 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+        yield at, stop
+        at = stop
+
+
 @cache
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -111,10 +208,11 @@ def pieces(df: DataFrame, path: str, end: int, capacity: int, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, last, size = _tokenizer(path), np.array([end], "<u4").tobytes(), 4 * capacity
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            texts = b.column(1).cast(pa.binary())
+            for at, stop in bounded(texts, STEP):
+                part = b.slice(at, stop - at)
                 rows, nth, cut = [], [], []
-                for i, own in enumerate(tokenizer.encode_batch(part.column(1).to_pylist())):
+                for i, own in enumerate(tokenizer.encode_batch(texts.slice(at, stop - at).to_pylist())):
                     ids = own + last
                     for k, start in enumerate(range(0, len(ids), size)):
                         rows.append(i)
@@ -129,6 +227,36 @@ def pieces(df: DataFrame, path: str, end: int, capacity: int, key: str = "doc_id
     return df.select(key, text).mapInArrow(lean(run), schema)
 
 
+class Sums:
+    """An index of sums of present lengths: of each sum the larger halves of its pairs and the largest parts of its
+    triples, longest first. Lengths only vanish while a plan is made, so no combination is missed."""
+
+    def __init__(self, present: np.ndarray, capacity: int):
+        low = np.flatnonzero(present)
+        self._larger = self._by_sum(low, lambda x: low[: np.searchsorted(low, x, "right")], capacity)
+        paired = np.flatnonzero(np.diff(self._larger[1]))  # sums that some pair has
+        self._largest = self._by_sum(low, lambda x: paired[: np.searchsorted(paired, 2 * x, "right")], capacity)
+
+    @staticmethod
+    def _by_sum(lengths: np.ndarray, others, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts, by sum, and where each sum's parts begin; others(x): what a part x is added to."""
+        sums, parts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for x in lengths[::-1].tolist():
+            own = others(x)
+            own = own[: np.searchsorted(own, capacity - x, "right")] + x
+            sums.append(own.astype(np.int32))
+            parts.append(np.full(len(own), x, np.int32))
+        total = np.concatenate(sums)
+        order = np.argsort(total, kind="stable")
+        return np.concatenate(parts)[order], np.searchsorted(total[order], np.arange(capacity + 2))
+
+    def pairs(self, total: int) -> np.ndarray:
+        return self._larger[0][self._larger[1][total] : self._larger[1][total + 1]]
+
+    def triples(self, total: int) -> np.ndarray:
+        return self._largest[0][self._largest[1][total] : self._largest[1][total + 1]]
+
+
 class Planner:
     """Packs a histogram of lengths; slots hold (length, first rank, pieces, first sequence, offset)."""
 
@@ -161,15 +289,9 @@ class Planner:
         self.sequences += n
         return n > 0
 
-    def _pairs(self, total: int) -> np.ndarray:
-        """Larger halves, largest first, of the pairs of present lengths with this sum."""
-        low = np.arange(1, total // 2 + 1)
-        low = low[(self.left[low] > 0) & (self.left[total - low] > 0)]
-        return total - low
-
     def exact(self) -> None:
-        present = (self.left > 0).astype(np.float64)
-        sums = np.rint(np.convolve(present, present)[: self.capacity + 1]) > 0  # lengths only vanish, so no pair is missed
+        """Longest first, each length takes what fills its gap exactly: one length, a pair, or a triple from the index."""
+        index = Sums(self.left > 0, self.capacity)
         for length in range(self.capacity, 0, -1):
             gap = self.capacity - length
             if not self.left[length]:
@@ -179,22 +301,25 @@ class Planner:
                 continue
             if self.left[gap]:
                 self._fill([length, gap])
-            for b in self._pairs(gap) if self.left[length] else ():
-                self._fill([length, int(b), int(gap - b)])
-                if not self.left[length]:
-                    break
-            if not self.left[length]:
-                continue
-            for c in np.flatnonzero(self.left[:gap])[::-1]:
-                rest = int(gap - c)
-                if rest < 2 or not sums[rest] or not self.left[c]:
-                    continue
-                for b in self._pairs(rest):
-                    if b <= c:
-                        self._fill([length, int(c), int(b), int(rest - b)])
-                        if not self.left[length]:
-                            break
-                if not self.left[length]:
+            if self.left[length]:
+                for b in self._present(index.pairs(gap), gap):
+                    if self._fill([length, b, gap - b]) and not self.left[length]:
+                        break
+            if self.left[length]:
+                self._triples(length, gap, index)
+
+    def _present(self, larger: np.ndarray, total: int) -> list[int]:
+        """Of the larger halves of a sum those of pairs that are both still there."""
+        return larger[(self.left[larger] > 0) & (self.left[total - larger] > 0)].tolist()
+
+    def _triples(self, length: int, gap: int, index: Sums) -> None:
+        largest = index.triples(gap)
+        for c in largest[self.left[largest] > 0].tolist():
+            pairs = index.pairs(gap - c)
+            for b in self._present(pairs[pairs <= c], gap - c):
+                if self._fill([length, c, b, gap - c - b]) and not self.left[length]:
+                    return
+                if not self.left[c]:
                     break
 
     def best_fit(self) -> None:
