@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from itertools import pairwise
 
@@ -285,9 +285,15 @@ class Codec:
         token = self.transducer.merges.bytes_of
         return b"".join([token[i] for i in ids])
 
-    def decode(self, ids: Iterable[int], errors: str = "replace") -> str:
-        stream = Utf8Stream(errors)
-        return "".join(stream.feed(self.transducer.merges.bytes_of[i]) for i in ids) + stream.end()
+    def stream(self, ids: Sequence[int], errors: str = "replace", step: int = 1024) -> Iterator[str]:
+        """The text of ids, `step` tokens at a time; what has not ended waits for the next step."""
+        state = Utf8Stream(errors)
+        for at in range(0, len(ids), step):
+            yield state.feed(self.decode_bytes(ids[at : at + step]))
+        yield state.end()
+
+    def decode(self, ids: Sequence[int], errors: str = "replace") -> str:
+        return "".join(self.stream(ids, errors))
 
 
 class Utf8Stream:

@@ -3,8 +3,8 @@
 A document is a bag of passages of `WORDS` words. Each passage is described by shares of its bytes and by statistics
 of its words, and encoded by a layer with tanh; gated attention (a tanh gate times a sigmoid gate) weighs the
 passages, and a logistic layer scores the weighted sum. Labels belong to documents only. Training is plain Adam in
-numpy on the driver, on at most `sample` labelled documents, those with the smallest hashes of their keys; scoring
-runs over whole texts on the executors.
+numpy on the driver, on a sample of whole labelled documents with bounds on their number and bytes; scoring runs over
+whole texts on the executors.
 
 Rows: a null text counts as empty; an empty text is one passage without words and gets a score like any other.
 Labels that are null or not 0 or 1, and labels without a document, are left out of training; without any label, or
@@ -114,11 +114,15 @@ class Model:
 def train(x: np.ndarray, owner: np.ndarray, label: np.ndarray, hidden: int = 32, gates: int = 16, epochs: int = 24, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
     """x: passages sorted by owner; label: of each owner, 0 or 1."""
     share = float(label.mean()) if len(label) else 0.5
-    mean, spread = x.mean(0), x.std(0)
+    total, square = np.zeros((2, x.shape[1]))
+    for at in range(0, len(x), 8192):  # the passages stay as they are, in half precision; only steps of them grow
+        step = x[at : at + 8192].astype(np.float64)
+        total, square = total + step.sum(0), square + (step * step).sum(0)
+    mean = (total / max(1, len(x))).astype(np.float32)
+    spread = np.sqrt(np.maximum(0, square / max(1, len(x)) - mean.astype(np.float64) ** 2))
     scale = (1 / np.maximum(spread, 0.02)).astype(np.float32)
     if len(np.unique(label)) < 2:
         return Model(mean, scale, [], share)
-    x = ((x - mean) * scale).astype(np.float32)
     r = np.random.default_rng(seed)
     make = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     weights = [make(x.shape[1], hidden), np.zeros(hidden, np.float32), make(hidden, gates), make(hidden, gates), make(gates), make(hidden), np.array([np.log(share / (1 - share))], np.float32)]
@@ -131,7 +135,7 @@ def train(x: np.ndarray, owner: np.ndarray, label: np.ndarray, hidden: int = 32,
             bags = shuffled[at : at + batch]
             rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in bags])
             own = np.repeat(np.arange(len(bags)), [bounds[i + 1] - bounds[i] for i in bags])
-            xb = x[rows]
+            xb = (x[rows].astype(np.float32) - mean) * scale
             w, b, v, u, a, c, d = weights
             h, t, s, e, z, y = Model.forward(weights, xb, own, len(bags))
             g = ((y - label[bags]) / len(bags)).astype(np.float32)
@@ -157,10 +161,20 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", sample: int = 4000, each: int = 128) -> Model:
-    """A model of the labels of at most `sample` documents that are not held out, of at most `each` spread passages."""
+def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", sample: int = 8000, most_bytes: int = 48 << 20) -> Model:
+    """A model of the labels of documents that are not held out.
+
+    The sample is bounded by `sample` documents and by `most_bytes` of text together: documents in the order of their
+    keys' hashes, up to the first that passes a bound (that one still counts). Of each all passages are learned from.
+    """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("_k"), F.col(label).alias("_y"))
     known = known.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
+    texts = documents.select(F.col(key).alias("_d"), F.col(text).alias("_text"))
+    sizes = texts.join(F.broadcast(known), F.col("_d") == F.col("_k")).select("_k", F.xxhash64("_k").alias("_h"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("_n")).toArrow()
+    order = np.lexsort((sizes["_k"].to_numpy(), sizes["_h"].to_numpy()))
+    total = np.cumsum(sizes["_n"].to_numpy()[order], dtype=np.int64)
+    last = sizes["_h"].to_numpy()[order[: int(np.searchsorted(total, most_bytes)) + 1][-1:]].tolist()
+    known = known.where(F.xxhash64("_k") <= last[0]) if last else known
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,18 +182,17 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id"
                 part = b.slice(at, 200)
                 x, owner = passages([(t or "").encode("utf-8", "replace") for t in part.column(2).to_pylist()])
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                spread = [i + np.unique(np.linspace(0, j - i - 1, min(j - i, each)).astype(np.int64)) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                made = [x[rows].astype(np.float16).tobytes() for rows in spread]
+                made = [x[i:j].astype(np.float16).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array(made, pa.binary())], ["k", "y", "x"])
 
-    rows = documents.select(F.col(key).alias("_d"), F.col(text).alias("_text")).join(F.broadcast(known), F.col("_d") == F.col("_k"))
-    rows = rows.select("_k", "_y", "_text").mapInArrow(lean(described), "k long, y int, x binary").toArrow()
+    rows = texts.join(F.broadcast(known), F.col("_d") == F.col("_k")).select("_k", "_y", "_text").mapInArrow(lean(described), "k long, y int, x binary").toArrow()
+    if not rows.num_rows:
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), [])
     order = np.argsort(rows["k"].to_numpy(), kind="stable")
-    xs = rows["x"].to_pylist()
+    label_of, xs = rows["y"].to_numpy()[order].astype(np.float32), rows["x"].to_pylist()
     bags = [np.frombuffer(xs[i], np.float16).reshape(-1, WIDTH) for i in order]
-    label_of = rows["y"].to_numpy()[order].astype(np.float32)
-    x = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, WIDTH), np.float32)
-    return train(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), label_of) if bags else Model(np.zeros(WIDTH), np.ones(WIDTH), [])
+    del rows, xs
+    return train(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), label_of)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

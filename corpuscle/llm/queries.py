@@ -31,7 +31,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ids = codec.encode(text)
                 counts.append(len(ids))
                 ids_sha.append(sha(",".join(map(str, ids)).encode()))
-                text_sha.append(sha(codec.decode_bytes(ids)))
+                back = hashlib.sha256()
+                for part in codec.stream(ids):
+                    back.update(part.encode())
+                text_sha.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return tables(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -45,8 +48,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of each document without bytes covered by repeated strings of 400 bytes."""
-    made = suffix.deduplicated(tables(spark, sf_dir, "documents").select("doc_id", "text"), length=400, keep_bytes=False)
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    made = suffix.deduplicated(tables(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Helpers that the training-data operators share: the shared folder and written tables.
 
-Results are lazy, so the tables they read stay in the shared folder until its owner clears it.
+Results are lazy, so the tables they read stay in the shared folder: until the end of a `scratch` scope, or until the
+folder's owner clears it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
@@ -22,17 +24,38 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is absent (tests, one machine) a folder of our own is made and set.
+    Only where that setting is absent and all runs on one machine a folder of our own is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='corpuscle-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Written tables of the operators called inside are deleted at the end: results must have been stored by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _SCOPES.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,12 +67,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df, written to the shared folder in buckets of a key: joins by the key then leave its rows where they are."""
+    """df, written to the shared folder in buckets of a key: joins by the key then leave its rows where they are.
+
+    Spark knows buckets only of tables with a name; the name goes again as soon as it is looked up, the files stay.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"corpuscle_{name}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    made = spark.table(table)
+    made.schema  # looked up
+    spark.sql(f"DROP TABLE {table}")
+    return made
 
 
 def lean(f: Callable) -> Callable:
