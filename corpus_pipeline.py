@@ -1,4 +1,9 @@
-"""The pipeline: quality, near-duplicates, repeated passages, packing. Each stage works on all its predecessor kept."""
+"""The pipeline: quality, near-duplicates, repeated passages, packing. Each stage works on all its predecessor kept.
+
+Rows: null texts count as empty; all stages but the last keep them, as empty texts, if the classifier does. Of texts
+without words one stays. Ties and repeated rows are equal texts: the smallest doc_id stays, a null one last. An empty
+table goes through all stages as one. Columns besides those of documents are not carried along.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import mil, neardup, packing, suffix
 from corpuscle.llm.queries import WORD_BPE
-from corpuscle.llm.shared import new_path, tables
+from corpuscle.llm.shared import new_path, scratch, tables
 
 #: A document stays if its score is at least this; half, as a clean document must not go.
 KEEP = 0.5
@@ -64,7 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import sentences, tokens
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _cut(items: Column, starts: Column, sep: str) -> Column:
     """Joins items[starts[k]] up to the next start."""
     ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(items) + 1))
-    return F.transform(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.array_join(F.slice(items, x["a"], x["b"] - x["a"]), sep))
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.array_join(F.slice(items, x["a"], x["b"] - x["a"]), sep))
+
+
+def _packed(items: Column, first: Column, step) -> Column:
+    """Items joined by spaces into chunks; without items no chunk."""
+    return let(items, lambda w: let(_starts(w, first, step), lambda starts: F.when(F.size(w) > 0, _cut(w, starts, " ")).otherwise(F.array().cast("array<string>"))))
 
 
 def _starts(items: Column, first: Column, step) -> Column:
@@ -31,15 +43,13 @@ def pack_words(text: Column, max_chars: int = 800) -> Column:
     A first word that does not fit leaves an empty chunk before it. Texts without words (or null) have no chunk.
     """
     items = F.coalesce(tokens(text), F.array().cast("array<string>"))
-    starts = _starts(items, F.lit(0), lambda n, w, i: (n + w + 1 > max_chars, F.when(n + w + 1 > max_chars, w).otherwise(n + w + 1)))
-    return F.when(F.size(items) > 0, _cut(items, starts, " ")).otherwise(F.array().cast("array<string>"))
+    return _packed(items, F.lit(0), lambda n, w, i: (n + w + 1 > max_chars, F.when(n + w + 1 > max_chars, w).otherwise(n + w + 1)))
 
 
 def pack_sentences(text: Column, max_chars: int = 1500) -> Column:
     """Whole sentences joined up to max_chars; a longer sentence stands alone."""
     items = F.coalesce(sentences(text), F.array().cast("array<string>"))
-    starts = _starts(items, F.lit(-1), lambda n, s, i: ((i > 1) & (n + 1 + s > max_chars), F.when((i > 1) & (n + 1 + s > max_chars), s).otherwise(n + 1 + s)))
-    return F.when(F.size(items) > 0, _cut(items, starts, " ")).otherwise(F.array().cast("array<string>"))
+    return _packed(items, F.lit(-1), lambda n, s, i: ((i > 1) & (n + 1 + s > max_chars), F.when((i > 1) & (n + 1 + s > max_chars), s).otherwise(n + 1 + s)))
 
 
 def greedy_take(items: Column, capacity: int) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space in every script, with the four separators that Java's class leaves out.
 WS = r"(?U)[\s\x1c-\x1f]+"
@@ -49,13 +53,73 @@ def characters(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
 
 
+#: Markup that patterns do not see as a parser does: numeric, other and unended entities, `>` inside quotes, a `<` that
+#: begins no tag, processing instructions, declarations, comments, scripts and styles without an end.
+ODD_HTML = (
+    r"(?is)&(?!(?:" + "|".join(n for n, _ in ENTITIES) + r");)|<[a-z][^<>]*=\s*(?:\"[^\"<>]*[<>]|'[^'<>]*[<>])|<(?![a-z/!])|</(?![a-z])|<!(?!--|doctype)"
+    r"|<!-->|<!--->|<!--(?!.*?-->)|--!>|<(script|style)\b(?!.*?</\1\s*>)|<[a-z/][^<>]*(?:<|$)"
+)
+
+
+class _Reader(HTMLParser):
+    """Collects the texts between markup, outside of scripts and styles."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts, self.open, self.inside = [], [], ""
+
+    def cut(self, *_) -> None:
+        self.parts.append("".join(self.open))
+        self.open.clear()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.cut()
+        if tag in ("script", "style"):
+            self.inside = tag
+
+    def handle_endtag(self, tag: str) -> None:
+        self.cut()
+        if tag == self.inside:
+            self.inside = ""
+
+    def handle_data(self, data: str) -> None:
+        if not self.inside:
+            self.open.append(data)
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = cut
+
+
+def read_html(page: str) -> str:
+    """The text of a page as a parser reads it, its parts joined by spaces."""
+    reader = _Reader()
+    reader.feed(page)
+    reader.close()
+    reader.cut()
+    return " ".join(reader.parts)
+
+
+def parsed_html(c: Column) -> Column:
+    """read_html() of each text, in Arrow batches; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(read_html, na_action="ignore")
+
+    return read(c)
+
+
 def clean_html(c: Column) -> Column:
-    """What a reader sees: no comments, doctype, scripts or styles; tags become spaces, entities characters."""
+    """What a reader sees: no comments, doctype, scripts or styles; tags become spaces, entities characters.
+
+    Patterns do this for usual pages; a page with `ODD_HTML` goes through a parser.
+    """
+    own = c
     for pattern in (r"(?s)<!--.*?-->", r"(?i)<!doctype[^>]*>", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<[^>]*>"):
-        c = F.regexp_replace(c, pattern, " ")
+        own = F.regexp_replace(own, pattern, " ")
     for name, char in ENTITIES:
-        c = F.regexp_replace(c, f"&{name};?", char)
-    return collapse(c)
+        own = F.regexp_replace(own, f"&{name};?", char)
+    odd = F.regexp_like(c, F.lit(ODD_HTML))
+    return collapse(F.coalesce(parsed_html(F.when(odd, c)), own))
 
 
 def answer(c: Column) -> Column:

@@ -33,6 +33,42 @@ def optimum(items: DataFrame, capacity: int) -> DataFrame:
     return lists.select(best_value(F.col("items"), capacity).alias("value"))
 
 
+def chosen_items(items: DataFrame, capacity: int) -> DataFrame:
+    """(item_id, w, v): a choice of the largest value. Of choices of equal value one with later items of the useful
+    ones by (w, v, item_id) left out. Weightless items of value are all chosen."""
+    rows = useful(items.select("item_id", F.col("w").cast("long").alias("w"), F.col("v").cast("long").alias("v")), capacity).where("w > 0")
+    lists = rows.agg(F.array_sort(F.collect_list(F.struct("w", "v", "item_id"))).alias("items"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for own in b["items"]:
+                best, taken = np.zeros(capacity + 1, np.int64), []
+                for x in own:  # taken[i][c]: item i is part of the best value within c of the items up to it
+                    with_it = np.full(capacity + 1, -1, np.int64)
+                    with_it[x["w"] :] = best[: capacity + 1 - x["w"]] + x["v"]
+                    taken.append(np.packbits(with_it > best))
+                    best = np.maximum(best, with_it)
+                left, out = capacity, []
+                for x, bits in zip(reversed(own), reversed(taken), strict=True):
+                    if bits[left >> 3] >> (7 - (left & 7)) & 1:
+                        out.append((x["item_id"], x["w"], x["v"]))
+                        left -= x["w"]
+                yield pd.DataFrame(out, columns=["item_id", "w", "v"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    free = items.where((F.col("w") == 0) & (F.col("v") > 0)).select("item_id", F.col("w").cast("long").alias("w"), F.col("v").cast("long").alias("v"))
+    return lists.mapInPandas(choose, f"item_id {kind}, w long, v long").unionByName(free)
+
+
+def final_choice(heuristic: DataFrame, exact: DataFrame, capacity: int) -> DataFrame:
+    """(source, value, weight, chosen): the exact choice if it fits and is strictly better than the heuristic one, else
+    that one. Both are (item_id, w, v); chosen holds the item ids in order."""
+    parts = [df.agg(F.lit(name).alias("source"), F.coalesce(F.sum("v"), F.lit(0)).alias("value"), F.coalesce(F.sum("w"), F.lit(0)).alias("weight"), F.array_sort(F.collect_list("item_id")).alias("chosen")) for name, df in (("heuristic", heuristic), ("exact", exact))]
+    fits = F.col("weight") <= capacity
+    order = F.struct((fits | (F.col("source") == "heuristic")).alias("ok"), F.when(fits, F.col("value")).otherwise(-1).alias("v"), (F.col("source") == "heuristic").alias("h"))
+    return parts[0].unionByName(parts[1]).agg(F.max_by(F.struct("source", "value", "weight", "chosen"), order).alias("x")).select("x.*")
+
+
 def bound(items: DataFrame, capacity: int) -> DataFrame:
     """(bound): the value if the first item by density that does not fit were taken in part; weightless items count in
     full. Items are summed up by density, and as each sum weighs something, no more of them than the capacity matter."""
@@ -102,57 +138,120 @@ def roulette(df: DataFrame, draws: DataFrame) -> DataFrame:
     return met.select("group_id", "draw", F.coalesce("s", "last").alias("solution"))
 
 
-def colony(items: DataFrame, capacity: int, islands: int = 4, bees: int = 60, rounds: int = 60, seed: int = 1) -> DataFrame:
+def colony(items: DataFrame, capacity: int, islands: int = 4, bees: int = 600, rounds: int = 250, seed: int = 1) -> DataFrame:
     """(island, weight, value, chosen): a seeded bee colony on each island; never above the optimum. The items are
     the useful ones, whose number the capacity bounds."""
     rows = useful(items, capacity).agg(F.collect_list(F.struct("item_id", "w", "v")).alias("items"))
-    each = items.sparkSession.range(islands).withColumnRenamed("id", "island").crossJoin(F.broadcast(rows))
+    each = items.sparkSession.range(islands).withColumnRenamed("id", "island").repartition(islands, "island").crossJoin(F.broadcast(rows))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for island, own in zip(b["island"], b["items"], strict=True):
                 ids, w, v = (np.array([x[c] for x in own], np.int64) for c in ("item_id", "w", "v"))
-                yield pd.DataFrame([{"island": island, **_search(ids, w, v, capacity, bees, rounds, seed * 1000 + island)}])
+                x = Colony(w, v, capacity, bees, seed * 1000 + island).run(rounds)
+                yield pd.DataFrame([{"island": island, "weight": int(w[x].sum()), "value": int(v[x].sum()), "chosen": sorted(ids[x].tolist())}])
 
     return each.mapInPandas(search, "island long, weight long, value long, chosen array<long>")
 
 
-def _search(ids: np.ndarray, w: np.ndarray, v: np.ndarray, capacity: int, bees: int, rounds: int, seed: int) -> dict:
-    r, n = np.random.default_rng(seed), len(ids)
-    by = np.lexsort((ids, -(v / np.maximum(1, w))))
-    trail = np.ones(n)
-
-    def fill(x: np.ndarray, skip: float) -> np.ndarray:
-        left = capacity - int(w[x].sum())
-        for i in by[r.random(n) >= skip]:
-            if not x[i] and w[i] <= left:
-                x[i], left = True, left - w[i]
+class Colony:
+    """Bees hold solutions, as rows of a matrix; all bees of a phase move together.
+
+    A round: every employed bee moves its own solution, onlookers move solutions drawn by softmax fitness, scouts give
+    up solutions that have not improved for `limit` rounds, every fifth round pairs are crossed, and the trail of the
+    best fifth fades and is renewed. The limit shrinks while the best stagnates and grows back when it improves.
+    """
+
+    NOISE, SKIP, TOURNAMENT = 0.1, 0.2, 5
+
+    def __init__(self, w: np.ndarray, v: np.ndarray, capacity: int, bees: int, seed: int):
+        self.w, self.v, self.capacity, self.bees, self.n = w, v, capacity, bees, len(w)
+        self.r = np.random.default_rng(seed)
+        self.density = v / np.maximum(1, w)
+        self.order = np.lexsort((np.arange(self.n), -self.density))
+        self.trail = np.ones(self.n)
+        self.limit = self.most = 20
+
+    def filled(self, x: np.ndarray, skip: float = 0.0) -> np.ndarray:
+        """Takes items by density as they fit, each skipped at the given chance."""
+        left = self.capacity - x @ self.w
+        for i in self.order:
+            take = ~x[:, i] & (self.w[i] <= left)
+            if skip:
+                take &= self.r.random(len(x)) >= skip
+            x[take, i] = True
+            left -= take * self.w[i]
         return x
 
-    def mend(x: np.ndarray) -> np.ndarray:
-        for i in by[::-1]:
-            if w[x].sum() <= capacity:
-                break
-            x[i] = False
-        return fill(x, 0.0)
-
-    swarm = [fill(np.zeros(n, bool), 0.2) for _ in range(bees)]
-    best = max(swarm, key=lambda x: v[x].sum(), default=np.zeros(n, bool)).copy()
-    for step in range(rounds):
-        heat = 0.08 + (0.03 - 0.08) * step / max(1, rounds - 1)
-        values = np.array([v[x].sum() for x in swarm], float)
-        p = np.exp((values - values.max()) / max(1.0, heat * values.max()))
-        for i in range(bees):
-            x = swarm[r.choice(bees, p=p / p.sum())].copy()
-            if n:
-                x[r.choice(n, 2, p=trail / trail.sum())] ^= True
-            if step % 5 == 4:  # uniform crossover
-                x = np.where(r.random(n) < 0.5, x, swarm[r.integers(bees)])
-            x = mend(x)
-            if v[x].sum() >= v[swarm[i]].sum():
-                swarm[i] = x
-        order = sorted(swarm, key=lambda x: -v[x].sum())
-        trail = np.clip(0.95 * trail + 0.05 * np.mean(order[: max(1, bees // 5)], axis=0), 1e-3, 1)
-        if v[order[0]].sum() > v[best].sum():
-            best = order[0].copy()
-    return {"weight": int(w[best].sum()), "value": int(v[best].sum()), "chosen": sorted(ids[best].tolist())}
+    def mended(self, x: np.ndarray) -> np.ndarray:
+        """Too heavy solutions first exchange their least dense item for the densest other, where that makes them fit and
+        no worse; then they drop the least dense ones until they fit, and what fits again is taken."""
+        over = np.flatnonzero(x @ self.w > self.capacity)
+        if len(over) and self.n:
+            own, rows = x[over], np.arange(len(over))
+            out = np.where(own, self.density, np.inf).argmin(1)
+            new = np.where(own, -np.inf, self.density).argmax(1)
+            ok = own[rows, out] & ~own[rows, new] & (own @ self.w - self.w[out] + self.w[new] <= self.capacity) & (self.v[new] >= self.v[out])
+            own[rows[ok], out[ok]], own[rows[ok], new[ok]] = False, True
+            excess = own @ self.w - self.capacity
+            for i in self.order[::-1]:
+                drop = own[:, i] & (excess > 0)
+                own[drop, i] = False
+                excess -= drop * self.w[i]
+            x[over] = own
+        return self.filled(x)
+
+    def moved(self, x: np.ndarray) -> np.ndarray:
+        """Two flips, each the winner of a tournament by trail and density; half of the bees exchange two items, and
+        noise flips one more."""
+        x = x.copy()
+        if not self.n:
+            return x
+        rows, worth = np.arange(len(x)), self.trail * (self.density + 1e-9)
+        for _ in range(2):
+            picked = self.r.integers(self.n, size=(len(x), self.TOURNAMENT))
+            gain = np.where(x[rows[:, None], picked], 1 / worth[picked], worth[picked])
+            x[rows, picked[rows, gain.argmax(1)]] ^= True
+        both = self.r.integers(self.n, size=(len(x), 2))
+        swap = (self.r.random(len(x)) < 0.5) & (x[rows, both[:, 0]] != x[rows, both[:, 1]])
+        x[rows[swap, None], both[swap]] ^= True
+        noisy = self.r.random(len(x)) < self.NOISE
+        x[rows[noisy], both[noisy, 0]] ^= True
+        return self.mended(x)
+
+    def _offered(self, at: np.ndarray, x: np.ndarray) -> None:
+        """Solutions for the bees `at`; each takes the best one offered if it is not worse than its own."""
+        value = x @ self.v
+        order = np.lexsort((value, at))
+        last = np.flatnonzero(np.append(at[order][1:] != at[order][:-1], True))
+        at, x, value = at[order[last]], x[order[last]], value[order[last]]
+        better, ok = value > self.value[at], value >= self.value[at]
+        self.x[at[ok]], self.value[at[ok]] = x[ok], value[ok]
+        self.age[at] = np.where(better, 0, self.age[at] + 1)
+
+    def run(self, rounds: int) -> np.ndarray:
+        every = np.arange(self.bees)
+        self.x = self.filled(np.zeros((self.bees, self.n), bool), self.SKIP)
+        self.value, self.age = self.x @ self.v, np.zeros(self.bees, np.int64)
+        best, top, still = self.x[self.value.argmax()].copy(), int(self.value.max()), 0
+        for step in range(rounds):
+            heat = 0.08 + (0.03 - 0.08) * step / max(1, rounds - 1)
+            self._offered(every, self.moved(self.x))
+            p = np.exp((self.value - self.value.max()) / max(1.0, heat * self.value.max()))
+            drawn = self.r.choice(self.bees, self.bees, p=p / p.sum())
+            self._offered(drawn, self.moved(self.x[drawn]))
+            if step % 5 == 4:
+                a, b = self.r.permutation(self.bees), self.r.permutation(self.bees)
+                self._offered(a, self.mended(np.where(self.r.random(self.x.shape) < 0.5, self.x[a], self.x[b])))
+            tired = np.flatnonzero(self.age > self.limit)
+            if len(tired):
+                self.x[tired] = self.filled(np.zeros((len(tired), self.n), bool), self.SKIP)
+                self.value[tired], self.age[tired] = self.x[tired] @ self.v, 0
+            elite = np.argsort(-self.value, kind="stable")[: max(1, self.bees // 5)]
+            self.trail = np.clip(0.95 * self.trail + 0.05 * self.x[elite].mean(0), 1e-3, 1) if self.n else self.trail
+            if self.value.max(initial=-1) > top:
+                best, top, still = self.x[self.value.argmax()].copy(), int(self.value.max()), 0
+            else:
+                still += 1
+            self.limit = max(5, self.most - still // 5)
+        return best

@@ -5,11 +5,16 @@ Every ranking is by the score rounded to six digits and then by position, so tha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpuscle.functions.folds import let
 from corpuscle.functions.text import tokens
 
 #: Constants of the public rank-BM25 "Okapi" variant.
@@ -18,7 +23,11 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Index:
-    """corpus (pos, text, length), postings (term, pos, tf), terms (term, df, idf), vectors (pos, embedding)."""
+    """corpus (pos, text, length), postings (term, pos, tf, weight), terms (term, df, idf), vectors (pos, embedding).
+
+    A posting's weight is what one occurrence of its term in a query adds to the document's score. An index that is
+    asked more than once is best saved and loaded: what is not stored is computed again for each use.
+    """
 
     corpus: DataFrame
     postings: DataFrame
@@ -39,21 +48,23 @@ class Index:
 def build(docs: DataFrame, pos: str, text: str, vectors: DataFrame | None = None) -> Index:
     """An index of docs; vectors: (pos, embedding), made unit vectors."""
     corpus = docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"), F.coalesce(F.size(tokens(F.coalesce(text, F.lit("")))), F.lit(0)).cast("long").alias("length"))
-    words = corpus.select("pos", F.explode(tokens(F.col("text"))).alias("term"))
-    postings = words.groupBy("term", "pos").agg(F.count("*").alias("tf"))
-    size = corpus.agg(F.count("*").alias("n_docs"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    words = corpus.select("pos", "length", F.explode(tokens(F.col("text"))).alias("term"))
+    counted = words.groupBy("term", "pos").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    size = corpus.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    df = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    postings = counted.join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(size.select("mean_length"))).select("term", "pos", "tf", weight.alias("weight"))
     return Index(corpus, postings, terms, vectors.select("pos", unit(F.col("embedding")).alias("embedding")) if vectors is not None else None)
 
 
 def unit(v: Column) -> Column:
     """The vector as doubles, divided by its norm; the zero vector stays."""
     d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+    return let(d, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,37 +79,80 @@ def ranked(df: DataFrame, k: int, by: str = "score", ties: str = "pos") -> DataF
 def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, pos, score) of the documents that share a term with a query; repeated terms count again."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    mean = index.corpus.agg(F.avg("length").alias("mean_length"))
-    hits = asked.join(index.terms, "term").join(index.postings, "term").join(index.corpus.select("pos", "length"), "pos").crossJoin(F.broadcast(mean))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return hits.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
+    hits = index.postings.join(asked, "term")
+    return hits.groupBy("query_id", "pos").agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
 
 
-def bm25_topk(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, pos, score): the k best; documents without a shared term have score 0 and fill up."""
-    scores = bm25_scores(index, queries)
-    enough = scores.where("score > 0").groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    short = queries.select("query_id").join(enough, "query_id", "left_anti")
-    fill = short.crossJoin(index.corpus.select("pos")).join(scores.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
+def bm25_topk(index: Index, queries: DataFrame, k: int, scores: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, pos, score): the k best; documents without a shared term have score 0 and fill up.
+
+    Where a query has k hits at most, its fill lies among the 2k smallest positions. Only a query with more hits, of
+    which fewer than k score above 0, is held against the whole corpus.
+    """
+    scores = bm25_scores(index, queries) if scores is None else scores
+    hits = scores.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.col("score") > 0).alias("good"))
+    short = queries.select("query_id").join(hits, "query_id", "left").where(F.coalesce("good", F.lit(0)) < k).select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+    positions = index.corpus.select("pos")
+    fill = short.where(F.col("hits") <= k).select("query_id").crossJoin(F.broadcast(positions.orderBy("pos").limit(2 * k)))
+    fill = fill.union(short.where(F.col("hits") > k).select("query_id").crossJoin(positions)).join(scores.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
     return ranked(scores.unionByName(fill.withColumn("score", F.lit(0.0))), k).select("query_id", "rank", "pos", "score")
 
 
-def dense_topk(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, pos, score): the k largest inner products; queries: (query_id, embedding).
+def _packed(key: str, vector: str, rows: int):
+    """Rows with unit vectors become rows of up to `rows` of them: the keys as one Arrow column, the vectors as one matrix."""
+
+    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([b.schema.field(key)])) as out:
+            out.write_batch(pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key))], [key]))
+        matrix = b.column(b.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], ["n", "keys", "matrix"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield pack(b.slice(at, rows))
+
+    return run
 
-    The queries are a stated set: Spark deals the corpus out and holds the queries against each part of it.
+
+def _best(k: int, schema: T.StructType):
+    """(query_id, pos, score) of packed queries and packed vectors: all that may be among a query's k best of a pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                queries, vectors = (np.frombuffer(r[m]).reshape(r[n], -1) for m, n in (("qmatrix", "qn"), ("matrix", "n")))
+                query_id, pos = (pa.ipc.open_stream(r[x]).read_all().column(0).combine_chunks() for x in ("qkeys", "keys"))
+                scores = queries @ vectors.T
+                last = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                i, j = np.nonzero(scores >= last[:, None] - 2e-6)  # ties after rounding are told apart by position
+                yield pa.RecordBatch.from_arrays([query_id.take(pa.array(i)), pos.take(pa.array(j)), pa.array(scores[i, j])], schema.fieldNames())
+
+    return run
+
+
+def dense_topk(index: Index, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, rank, pos, score): the k largest inner products; queries: (query_id, embedding). Null vectors take no
+    part; all others are of one length.
+
+    The queries are a stated set: packs of them meet packs of the corpus, and of each meeting a query keeps its k best.
     """
-    asked = queries.select("query_id", unit(F.col("embedding")).alias("_q"))
-    scored = index.vectors.crossJoin(asked).select("query_id", "pos", F.round(dot(F.col("_q"), F.col("embedding")), 6).alias("score"))
+    packed = "n int, keys binary, matrix binary"
+    asked = queries.where("embedding IS NOT NULL").select("query_id", unit(F.col("embedding")).alias("v")).mapInArrow(_packed("query_id", "v", block), packed)
+    corpus = index.vectors.where("embedding IS NOT NULL").select("pos", F.col("embedding").alias("v")).mapInArrow(_packed("pos", "v", block), packed)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("pos", index.vectors.schema["pos"].dataType), T.StructField("score", T.DoubleType())])
+    met = corpus.crossJoin(asked.select(F.col("n").alias("qn"), F.col("keys").alias("qkeys"), F.col("matrix").alias("qmatrix")))
+    scored = met.mapInArrow(_best(k, schema), schema).withColumn("score", F.round("score", 6))
     return ranked(scored, k).select("query_id", "rank", "pos", "score")
 
 
 def hybrid_topk(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, pos, score): of the 5k best of both kinds the k with the largest sum; a document outside the
     dense list has no dense part, one outside the lexical list keeps its lexical score."""
-    lexical, dense = bm25_topk(index, queries, 5 * k), dense_topk(index, queries, 5 * k)
-    both = lexical.select("query_id", "pos").union(dense.select("query_id", "pos")).distinct()
     scores = bm25_scores(index, queries)
+    lexical, dense = bm25_topk(index, queries, 5 * k, scores), dense_topk(index, queries, 5 * k)
+    both = lexical.select("query_id", "pos").union(dense.select("query_id", "pos")).distinct()
     fused = both.join(scores.withColumnRenamed("score", "_l"), ["query_id", "pos"], "left").join(dense.select("query_id", "pos", F.col("score").alias("_d")), ["query_id", "pos"], "left")
     total = F.round(F.coalesce("_l", F.lit(0.0)) + F.coalesce("_d", F.lit(0.0)), 6)
     return ranked(fused.select("query_id", "pos", total.alias("score")), k).select("query_id", "rank", "pos", "score")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscle.functions.text import characters, strip
 
@@ -21,17 +24,28 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str, out: str = "ids", stripped: bool = True) -> DataFrame:
-    """df with the ids of the lower-cased text's characters, 1 for unknown ones. The vocabulary has a row for each
-    character of Unicode at most, and goes along as one map."""
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_vocab"))
-    lowered = strip(F.lower(F.coalesce(F.col(text), F.lit("")))) if stripped else F.lower(F.coalesce(F.col(text), F.lit("")))
-    ids = F.transform(characters(lowered), lambda c: F.coalesce(F.try_element_at(F.col("_vocab"), c), F.lit(1).cast("long")))
-    return df.crossJoin(F.broadcast(table)).withColumn(out, ids).drop("_vocab")
+    """df with the ids of the lower-cased text's characters, 1 for unknown ones; null counts as empty.
+
+    The vocabulary has a row for each character of Unicode at most; it is read once and goes to the tasks as an array
+    over code points. Tokens of more than one character are no character's.
+    """
+    table = np.ones(0x110000, np.int64)
+    for r in vocab.where(F.length("token") == 1).select("token", "token_id").toLocalIterator():
+        table[ord(r["token"])] = r["token_id"]
+    table = table[: int(np.flatnonzero(table != 1).max(initial=0)) + 2].copy()  # the last one stands for all beyond
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def ids(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: table[np.minimum(np.frombuffer(t.encode("utf-32-le"), np.uint32), len(table) - 1)])
+
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return df.withColumn(out, ids(strip(lowered) if stripped else lowered))
 
 
 def pad_batches(df: DataFrame, ids: str, order: str, size: int = 4) -> DataFrame:
-    """df with batch, length, and padded: zeros up to the batch's longest. Rows are batched by a running number, so
-    that no task has to see all of them."""
+    """df with batch, length, and padded: zeros up to the batch's longest. A batch holds the rows whose number in
+    `order` has the same quotient by `size`; numbers without gaps give batches of that size. So no task has to see
+    all rows, as it would to number them anew."""
     numbered = df.withColumn("batch", F.floor(F.col(order) / size).cast("long"))
     longest = F.max(F.size(ids)).over(Window.partitionBy("batch"))
     padded = F.concat(F.col(ids), F.array_repeat(F.lit(0).cast("long"), longest - F.size(ids)))

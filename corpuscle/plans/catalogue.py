@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import folds, text, timing
-from corpuscle.operators import evaluate, files, media, optimize, search, speech
+from corpuscle.operators import evaluate, files, media, models, optimize, search, speech
+from corpuscle.session import new_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -131,6 +132,13 @@ filled AS (SELECT q.query_id, corpus.pos AS pos, coalesce(score, 0.0) AS score F
 lexical AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM filled) WHERE rank <= {k})"""
 
 
+def _stored(spark: SparkSession, index: search.Index) -> search.Index:
+    """The index, written to the shared folder once, as several parts of a query read it."""
+    path = new_path(spark, "index")
+    index.save(path)
+    return search.Index.load(spark, path, index.vectors is not None)
+
+
 def _index(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None) -> search.Index:
     return search.build(table(spark, sf_dir, "documents"), "doc_id", "text", vectors)
 
@@ -148,7 +156,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_topk_sql(25)} SELECT query_id, rank, pos, score FROM lexical")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 best documents of each benchmark item."""
-    return search.bm25_topk(_index(spark, sf_dir), _questions(spark, sf_dir), 25)
+    return search.bm25_topk(_stored(spark, _index(spark, sf_dir)), _questions(spark, sf_dir), 25)
 
 
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -179,7 +187,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
     """Documents that have a vector of the same number; every hundredth asks with its text and vector."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding")
-    return search.build(docs, "doc_id", "text", docs.select(F.col("doc_id").alias("pos"), "embedding")), asked
+    return _stored(spark, search.build(docs, "doc_id", "text", docs.select(F.col("doc_id").alias("pos"), "embedding"))), asked
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, rank, pos, score FROM hits")
@@ -442,6 +450,20 @@ def backend_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.latest(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
+@query(
+    f"""WITH u AS (SELECT page_id, ['WHISPER', NULL, 'vosk', 'other', ''][page_id % 5 + 1] AS wanted, html FROM pages),
+b AS (SELECT *, CASE lower(coalesce(nullif(wanted, ''), 'tesseract')) WHEN 'whisper' THEN 'whisper' WHEN 'tesseract' THEN 'tesseract' END AS backend FROM u)
+SELECT page_id, backend, backend IS NULL AS refused,
+  CASE backend WHEN 'whisper' THEN '0 samples' WHEN 'tesseract' THEN regexp_replace(html, '^\\s+|\\s+$', '', 'g') END AS text FROM b"""
+)
+def backend_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads, sent to stand-ins of the backends that they want."""
+    wanted = F.element_at(F.array(F.lit("WHISPER"), F.lit(None), F.lit("vosk"), F.lit("other"), F.lit("")), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", wanted.alias("wanted"), F.col("html").cast("binary").alias("content"), F.lit("en").alias("language"))
+    slots = {"whisper": models.whisper_standin(), "tesseract": models.reading_standin("tesseract_standin")}
+    return models.dispatched(rows, "wanted", "tesseract", slots, ["content", "language"]).select("page_id", "backend", "refused", "text")
+
+
 # --- optimisation
 
 _ITEMS = "SELECT p_partkey AS item_id, CAST(p_size AS BIGINT) AS w, CAST(round(p_retailprice * 100) AS BIGINT) AS v FROM part"
@@ -466,6 +488,20 @@ def knapsack_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimize.optimum(_items(spark, sf_dir), _CAPACITY)
 
 
+@query(
+    f"""WITH RECURSIVE {_USEFUL}, o AS (SELECT w, v, row_number() OVER (ORDER BY w, n) AS i FROM useful),
+dp AS (SELECT CAST(0 AS BIGINT) AS i, list_transform(range({_CAPACITY + 1}), lambda c: CAST(0 AS BIGINT)) AS t
+  UNION ALL SELECT o.i, list_transform(range({_CAPACITY + 1}), lambda c: CASE WHEN c >= w THEN greatest(t[c + 1], t[c - w + 1] + v) ELSE t[c + 1] END) FROM dp JOIN o ON o.i = dp.i + 1)
+SELECT t[{_CAPACITY + 1}] AS value, true AS fits, true AS adds_up FROM dp ORDER BY i DESC LIMIT 1"""
+)
+def knapsack_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final choice: the exact one, unless the greedy one is as good."""
+    items = _items(spark, sf_dir)
+    made = optimize.final_choice(optimize.greedy(items, _CAPACITY), optimize.chosen_items(items, _CAPACITY), _CAPACITY)
+    told = made.select("value", "weight", F.explode("chosen").alias("item_id")).join(items, "item_id")
+    return told.groupBy("value").agg((F.sum("w") <= _CAPACITY).alias("fits"), (F.sum("v") == F.col("value")).alias("adds_up"))
+
+
 @query(
     f"""WITH d AS (SELECT v / greatest(1, w) AS density, sum(w) AS w, sum(v) AS v FROM ({_ITEMS}) GROUP BY 1),
 b AS (SELECT *, coalesce(sum(w) OVER (ORDER BY density DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
@@ -515,7 +551,7 @@ def roulette_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def knapsack_colony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What four seeded colonies find, and the optimum."""
-    found = optimize.colony(_items(spark, sf_dir), _CAPACITY).select("island", "weight", "value")
+    found = optimize.colony(_items(spark, sf_dir), _CAPACITY, bees=100, rounds=100).select("island", "weight", "value")
     return found.crossJoin(F.broadcast(optimize.optimum(_items(spark, sf_dir), _CAPACITY).withColumnRenamed("value", "optimum")))
 
 
@@ -589,6 +625,6 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents, the five best for each benchmark item, and the prompts they make."""
     chunks = _chunks(table(spark, sf_dir, "documents")).select((F.col("doc_id") * 1_000_000 + F.col("idx")).alias("doc_id"), "text")
-    index, asked = search.build(chunks, "doc_id", "text"), _questions(spark, sf_dir)
+    index, asked = _stored(spark, search.build(chunks, "doc_id", "text")), _questions(spark, sf_dir)
     hits = search.bm25_topk(index, asked, 5).join(asked, "query_id").join(index.corpus.select("pos", "text"), "pos")
     return search.prompts(hits).select("query_id", "prompt")

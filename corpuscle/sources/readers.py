@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import wave
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.functions.text import clean_html, stem, strip, suffix
+from corpuscle.functions.text import basename, clean_html, stem, strip, suffix
 from corpuscle.operators.files import probably_binary
+from corpuscle.operators.media import AUDIO, IMAGE
+from corpuscle.operators.signal import mono, resample
 
 MANIFEST = "id STRING, audio STRING"
 TRANSCRIPT = "id STRING, text STRING, segments ARRAY<STRUCT<start DOUBLE, end DOUBLE, text STRING>>, language STRING"
@@ -98,19 +105,48 @@ def project_files(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("binary", probably_binary(F.col("content"))).withColumn("text", decode_replacing(F.col("content"))).drop("content")
 
 
-def book_items(spark: SparkSession, path: str) -> DataFrame:
-    """(path, idx, text): the pages of zipped books by name, as clean text; a page that cannot be read is left out."""
+PAGE_KINDS = ("application/xhtml+xml", "text/html")
+
+
+def _pages(content: bytes) -> Iterator[str]:
+    """Names of a book's pages: in the order of its manifest, or by name where it has none that can be read."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        try:
+            box = ElementTree.fromstring(z.read("META-INF/container.xml"))
+            package = next(x.get("full-path") for x in box.iter() if x.tag.endswith("rootfile"))
+            items = [x for x in ElementTree.fromstring(z.read(package)).iter() if x.tag.endswith("}item") or x.tag == "item"]
+            hrefs = [unquote(x.get("href")) for x in items if x.get("media-type") in PAGE_KINDS]
+            found = [posixpath.normpath(posixpath.join(posixpath.dirname(package), h)) for h in hrefs]
+        except (KeyError, StopIteration, ElementTree.ParseError, TypeError, zipfile.BadZipFile, zlib.error):
+            found = []
+        if not found:
+            found = sorted(n for n in names if n.lower().endswith((".html", ".htm", ".xhtml")))
+        for name in found:
+            try:
+                yield z.read(name).decode("utf-8", "ignore")
+            except (KeyError, zipfile.BadZipFile, zlib.error, OSError, RuntimeError):
+                continue
+
+
+def book_items(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(path, idx, text): the pages of zipped books in the order of the book's manifest, or by name without one, as
+    clean text. A page that cannot be read is left out; a file that is no book has no pages. With `strict` a book
+    without any text raises."""
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i, name in enumerate(sorted(n for n in z.namelist() if n.lower().endswith((".html", ".htm", ".xhtml")))):
-                        try:
-                            rows.append((path, i, z.read(name).decode("utf-8", "ignore")))
-                        except (zipfile.BadZipFile, OSError, RuntimeError):
-                            continue
+                found = 0
+                try:
+                    for i, html in enumerate(_pages(content)):
+                        rows.append((path, i, html))
+                        found += bool(html.strip())
+                except (zipfile.BadZipFile, ValueError):
+                    pass
+                if strict and not found:
+                    raise ValueError(f"no text in {path}")
             yield pd.DataFrame(rows, columns=["path", "idx", "html"])
 
     df = binaries(spark, path).select("path", "content").mapInPandas(pages, "path string, idx int, html string")
@@ -118,21 +154,82 @@ def book_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wav_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, channels, width, rate, frames, seconds, accepted): accepted are mono files of 16 bits at usual rates."""
+    """(path, channels, width, rate, frames, seconds, accepted): accepted are mono files of 16 bits at usual rates. A
+    file whose header cannot be read has nulls and is not accepted."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
-                with wave.open(io.BytesIO(content)) as w:
-                    rows.append((path, w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()))
-            yield pd.DataFrame(rows, columns=["path", "channels", "width", "rate", "frames"])
+                try:
+                    with wave.open(io.BytesIO(content)) as w:
+                        rows.append((path, w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()))
+                except (wave.Error, EOFError, ValueError):
+                    rows.append((path, None, None, None, None))
+            made = pd.DataFrame(rows, columns=["path", "channels", "width", "rate", "frames"])
+            yield made.astype({c: "Int64" for c in made.columns[1:]})
 
     df = binaries(spark, path, pattern="*.wav").select("path", "content").mapInPandas(heads, "path string, channels int, width int, rate int, frames long")
-    ok = (F.col("channels") == 1) & (F.col("width") == 2) & F.col("rate").isin(*RATES)
+    ok = F.coalesce((F.col("channels") == 1) & (F.col("width") == 2) & F.col("rate").isin(*RATES), F.lit(False))
     return df.withColumn("seconds", F.col("frames") / F.nullif(F.col("rate"), F.lit(0))).withColumn("accepted", ok)
 
 
+def wav_samples(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
+    """(id, path, rate, samples): recordings as mono samples from -1 to 1 at one rate, of PCM with 8 to 32 bits; null
+    samples where a file cannot be read. Feeds `signal.features`."""
+
+    def decoded(content: bytes) -> np.ndarray | None:
+        try:
+            with wave.open(io.BytesIO(content)) as w:
+                width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
+                raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+        except (wave.Error, EOFError, ValueError):
+            return None
+        raw = raw[: len(raw) // (width * channels) * width * channels].reshape(-1, width)
+        if width == 1:
+            x = (raw[:, 0].astype(np.float64) - 128) / 128
+        else:  # the bytes become the upper ones of 32 bits
+            wide = np.zeros((len(raw), 4), np.uint8)
+            wide[:, 4 - width :] = raw
+            x = wide.view("<i4")[:, 0] / 2.0**31
+        return resample(mono(x.reshape(-1, channels).T), own, rate)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [decoded(c) for c in b["content"]]
+            yield pd.DataFrame({"path": b["path"], "rate": rate, "samples": [None if x is None else x.astype(np.float32) for x in made]})
+
+    df = binaries(spark, path, pattern="*.wav").select("path", "content").mapInPandas(run, "path string, rate int, samples array<float>")
+    return df.select(stem(F.col("path")).alias("id"), "path", "rate", "samples")
+
+
+def with_transcripts(recordings: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, ..., text): recordings with the text of the same name; a recording without one raises when it is read."""
+    joined = recordings.join(texts.select("id", "text", F.lit(True).alias("_has")), "id", "left")
+    lacks = F.raise_error(F.concat(F.lit("no transcript for "), F.col("id"))).cast("string")
+    return joined.withColumn("text", F.when(F.col("_has").isNull(), lacks).otherwise(F.col("text"))).drop("_has")
+
+
+def uploads(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
+    """(filename, content_type, mode, content) of the files of a folder, with the usual type of each extension."""
+    kinds = {x: "audio/" + x for x in AUDIO} | {x: "image/" + x for x in IMAGE}
+    table = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    name = basename(F.col("path"))
+    return binaries(spark, path).select(name.alias("filename"), F.coalesce(F.try_element_at(table, suffix(F.col("path"))), F.lit("application/octet-stream")).alias("content_type"), F.lit(mode).cast("string").alias("mode"), "content")
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths as the file system names them in full; raises for one that does not exist."""
+    jvm, out = spark.sparkContext._jvm, []
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(where):
+            raise FileNotFoundError(p)
+        out.append(system.makeQualified(where).toString())
+    return out
+
+
 def requirements(spark: SparkSession, path: str) -> DataFrame:
     """(package, line) of a list of requirements, without blank lines and comments."""
     line = strip(F.col("value"))
