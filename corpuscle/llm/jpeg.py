@@ -9,8 +9,11 @@ Writing: any coefficients, by a fixed script (DC in two steps, AC in two bands a
 at 4:2:0, quantisation by one, fixed code tables, and a restart every eight blocks. A payload of bytes is stored
 losslessly as coefficients (byte less 128), 64 to a block: luma blocks first, then Cb and Cr; a comment tells its length.
 
-Rows: a null text counts as empty; an empty text is one block of zero bytes. Long texts are large pictures; their
-lanes are their own. Repeated rows give equal values, an empty table an empty one. Other columns are not read.
+Columns: `media` stores texts as pictures and returns files, payloads and RGB tensors; `tensors` decodes a column of files.
+
+Rows: a null file, and one that is no whole progressive JPEG, has null for its tensor. A null text counts as empty; an empty text is one block of zero bytes. Long texts are large pictures; their
+lanes are their own. Repeated rows give equal values, an empty table an empty one. Other columns are carried along, those
+with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -18,10 +21,15 @@ from __future__ import annotations
 import re
 import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from corpuscle.llm.shared import lean
 
 #: Blocks (or sets of interleaved blocks) between restarts, and bytes of payload that are worth a step of their own.
 INTERVAL, BATCH = 8, 3 << 20
@@ -628,3 +636,74 @@ def feature(picture: np.ndarray) -> str:
     means = [int(x) * 1000 // n for x in flat.sum(0, dtype=np.int64)]
     squares = [int(np.dot(c := np.ascontiguousarray(flat[:, i], np.float64), c)) * 1000 // n for i in range(3)]
     return f"{picture.shape[0]}x{picture.shape[1]}:{','.join(map(str, means + squares))}"
+
+
+# --- columns
+
+_TENSOR = [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())]
+_MEDIA = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), *_TENSOR]
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of batches with a bounded number of bytes in a column, or one row; and the column's values."""
+    for b in batches:
+        values = b.column(b.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
+        at = 0
+        while at < len(values):
+            end, size = at, 0
+            while end < len(values) and (end == at or size + len(values[end] or b"") <= BATCH):
+                size += len(values[end] or b"")
+                end += 1
+            yield b.slice(at, end - at), values[at:end]
+            at = end
+
+
+def _tensor_columns(made: list[np.ndarray | None]) -> list[pa.Array]:
+    size = lambda i: pa.array([None if x is None else x.shape[i] for x in made], pa.int32())
+    return [size(0), size(1), pa.array([None if x is None else x.tobytes() for x in made], pa.binary())]
+
+
+def media(df: DataFrame, text: str = "text", derive: Callable[..., list[pa.Array]] | None = None, derived: list[T.StructField] | None = None) -> DataFrame:
+    """df with its texts as pictures, read back: n_bytes of the text, media (the file), payload (the text and zero
+    bytes up to a multiple of 64, as read from the file), and the tensor: height, width, rgb (height x width x 3 bytes).
+
+    derive(n_bytes, files, payloads, tensors) may give other columns (`derived`) in their place, if a query needs
+    no tensor but what is computed from it: the tensors then stay in the task.
+    """
+    made = derived if derive else _MEDIA
+    kept = [f for f in df.schema.fields if f.name not in {x.name for x in made}]
+
+    def columns(sizes: list[int], files: list[bytes], back: list[bytes], tensors: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array(back, pa.binary()), *_tensor_columns(tensors)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, values in _in_batches(batches, text):
+            raw = [v or b"" for v in values]
+            files = store([t + bytes(-len(t) % 64 or 64 * (not t)) for t in raw])
+            out = (derive or columns)([len(t) for t in raw], files, *restore(files))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), *out], [f.name for f in (*kept, *made)])
+
+    return df.mapInArrow(lean(run), T.StructType([*kept, *made]))
+
+
+def decoded(files: list[bytes | None]) -> list[np.ndarray | None]:
+    """The tensor of each file; None for null and for what is no whole progressive JPEG."""
+    try:
+        if None not in files:
+            return list(decode(files))
+    except (ValueError, LookupError, AttributeError, TypeError, struct.error):
+        pass
+    if len(files) == 1:
+        return [None]
+    return [x for f in files for x in (decoded([f]) if f is not None else [None])]
+
+
+def tensors(df: DataFrame, column: str = "media") -> DataFrame:
+    """df with height, width and rgb of a column of progressive JPEG files."""
+    kept = [f for f in df.schema.fields if f.name not in {x.name for x in _TENSOR}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, values in _in_batches(batches, column):
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), *_tensor_columns(decoded(values))], [f.name for f in (*kept, *_TENSOR)])
+
+    return df.mapInArrow(lean(run), T.StructType([*kept, *_TENSOR]))

@@ -6,10 +6,12 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscle.llm import bpe, chat, jpeg, mil, mtree, packing, patience, simhash, suffix, warc
 from corpuscle.llm.shared import new_path, tables
@@ -76,21 +78,22 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 a AS (
   SELECT *, row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, r, x) AS n,
-    12 + length(replace(replace(replace(r, chr(92), chr(92) || 's'), chr(10), chr(92) || 'n'), '|', chr(92) || 'p')) + 1
-    + length(regexp_replace(x, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS len FROM t),
-b AS (SELECT *, n = 1 AND r = 'system' AS sys, CASE WHEN n = 1 AND r = 'system' THEN 0 ELSE (len + 3) // 4 END AS cost FROM a),
-d AS (SELECT *, CAST(coalesce(sum(cost) OVER (PARTITION BY c ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM b),
-e AS (SELECT *, (s // 1024) * 2 + CASE WHEN cost > 1024 THEN 1 ELSE 0 END AS span FROM d),
-spans AS (SELECT c, span, min(s) AS begins, min(n) AS first_n FROM e GROUP BY c, span),
-nexts AS (SELECT c, span, lead(begins) OVER (PARTITION BY c ORDER BY span) AS next_s FROM spans),
-system_len AS (SELECT c, max(len) AS sys_len FROM e WHERE sys GROUP BY c),
+    '<|im_start|>' || replace(replace(replace(r, chr(92), chr(92) || 's'), chr(10), chr(92) || 'n'), '|', chr(92) || 'p') || chr(10)
+    || regexp_replace(x, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10) AS formatted FROM t),
+b AS (SELECT *, n = 1 AND r = 'system' AS sys, length(formatted) AS len, len(regexp_extract_all(formatted, '[A-Za-z]{1,6}|[0-9]{1,3}|\n+|[^A-Za-z0-9 \t\r\n]')) AS cost FROM a),
+d AS (SELECT *, CASE WHEN sys THEN 0 ELSE cost END AS own, coalesce(max(CASE WHEN sys THEN cost END) OVER (PARTITION BY c), 0) AS reserved FROM b),
+e AS (SELECT *, CAST(coalesce(sum(own) OVER (PARTITION BY c ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, greatest(1, (2048 - 256 - reserved) // 2) AS half FROM d),
+f AS (SELECT *, (s // half) * 2 + CASE WHEN own > half THEN 1 ELSE 0 END AS span FROM e),
+spans AS (SELECT c, span, min(s) AS begins, min(n) AS first_n, sum(own) AS total FROM f GROUP BY c, span),
+nexts AS (SELECT *, lead(begins) OVER w AS next_s, lead(total) OVER w AS next_total FROM spans WINDOW w AS (PARTITION BY c ORDER BY span)),
+system_len AS (SELECT c, max(len) AS sys_len FROM f WHERE sys GROUP BY c),
 again AS (SELECT c, sum(sys_len) AS chars FROM spans JOIN system_len USING (c) WHERE first_n > 1 GROUP BY c)
 SELECT e.c AS conv_id, count(*) AS n_turns,
   sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY n)) AS turns_sha256,
   CAST(coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(x, '' ORDER BY n) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(len) + coalesce(sum(len) FILTER (WHERE NOT sys AND next_s - s <= 256), 0) + coalesce(max(again.chars), 0) AS BIGINT) AS formatted_chars
-FROM e JOIN nexts ON e.c IS NOT DISTINCT FROM nexts.c AND e.span = nexts.span LEFT JOIN again ON e.c = again.c
+  CAST(sum(len) + coalesce(sum(len) FILTER (WHERE NOT sys AND next_s - s <= least(256, 2048 - reserved - next_total)), 0) + coalesce(max(again.chars), 0) AS BIGINT) AS formatted_chars
+FROM f e JOIN nexts ON e.c IS NOT DISTINCT FROM nexts.c AND e.span = nexts.span LEFT JOIN again ON e.c = again.c
 GROUP BY e.c"""
 
 
@@ -136,35 +139,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as pictures, read back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= jpeg.BATCH):
-                    size += len(texts[end])
-                    end += 1
-                raw = texts[at:end]
-                files = jpeg.store([t + bytes(-len(t) % 64 or 64 * (not t)) for t in raw])
-                back, pictures = jpeg.restore(files)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(at, end - at),
-                        *(pa.array(x, pa.int64()) for x in ([len(t) for t in raw], [len(p) for p in back])),
-                        pa.array([sha(p) for p in back], pa.string()),
-                        *(pa.array(x, pa.int64()) for x in ([zlib.crc32(p[-64:]) for p in back], [len(f) for f in files])),
-                        pa.array([sha(f) for f in files], pa.string()),
-                        pa.array([jpeg.feature(p) for p in pictures], pa.string()),
-                    ],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
-                at = end
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return tables(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, schema)
+    whole = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [T.StructField(n, T.StringType() if n in ("payload_sha256", "media_sha256", "feature") else T.LongType()) for n in whole]
+
+    def digest(sizes: list[int], files: list[bytes], back: list[bytes], tensors: list[np.ndarray]) -> list[pa.Array]:
+        sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+        long = lambda xs: pa.array(xs, pa.int64())
+        return [
+            *(long(sizes), long([len(p) for p in back]), sha(back), long([zlib.crc32(p[-64:]) for p in back])),
+            *(long([len(f) for f in files]), sha(files), pa.array([jpeg.feature(x) for x in tensors], pa.string())),
+        ]
+
+    made = jpeg.media(tables(spark, sf_dir, "documents").select("doc_id", "text"), "text", digest, kinds)
+    return made.select("doc_id", *whole)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

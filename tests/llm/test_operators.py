@@ -1,7 +1,9 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows, no rows, and clashing names."""
 
+import gzip
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import bpe, chat, components, mil, mtree, neardup, packing, simhash, suffix, warc
 from corpuscle.llm.queries import PATTERN
+from tests.llm.plain import plain_removal
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -53,22 +56,6 @@ def test_packing_tables(docs):
     assert packing.pack(packing.pieces(empty(docs), WORDS, 1, 512), 512).collect() == []
 
 
-def plain_removal(texts, length):
-    raw = [(t or "").encode() for t in texts]
-    seen = {}
-    for t in raw:
-        for p in range(len(t) - length + 1):
-            seen[t[p : p + length]] = seen.get(t[p : p + length], 0) + 1
-    out = []
-    for t in raw:
-        gone = np.zeros(len(t), bool)
-        for p in range(len(t) - length + 1):
-            if seen[t[p : p + length]] > 1:
-                gone[p : p + length] = True
-        out.append((len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
-    return out
-
-
 @pytest.mark.parametrize("crowd", [20_000, 1])
 def test_suffix_dedup(docs, crowd, monkeypatch):
     monkeypatch.setattr(suffix.covered, "__defaults__", (400, suffix.GRAM, crowd))
@@ -106,14 +93,19 @@ def test_chat_round_trip(spark, budget, history):
         assert got[c][0] == [t[1:] for t in turns]
         assert got[c][1] == "".join(t[2] for t in turns if t[1] == "assistant")
     for r in made.collect():
-        if r.context_turns == 0 or r.formatted.count(chat.START) - r.context_turns > 1:
-            assert len(r.formatted) / 4 <= budget + history + 200 or "xxx" in r.formatted
+        count = lambda x: len(re.findall(chat.PIECE, x))
+        turns = [chat.START + x for x in r.formatted.split(chat.START)[1:]]
+        system = count(turns[0]) if "<|im_start|>system" in turns[0] else 0
+        assert r.tokens == sum(map(count, turns))
+        own = turns[r.context_turns :]
+        if r.tokens > budget:  # one turn that does not fit beside the system turn
+            assert len(own) == 1 and system + count(own[0]) > budget and r.context_turns == bool(system)
     assert chat.read_back(chat.windows(empty(df))).collect() == []
 
 
 def test_chat_repeats_system_and_history(spark):
     rows = [("a", 0, "system", "S"), *(("a", i, "user", f"u{i} " * 20) for i in range(1, 9))]
-    made = chat.windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), 100, 50).orderBy("window").collect()
+    made = chat.windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), 120, 60).orderBy("window").collect()
     assert len(made) > 2 and all(r.formatted.startswith("<|im_start|>system\nS") for r in made)
     assert all(r.context_turns >= 2 for r in made[1:])
 
@@ -175,6 +167,41 @@ def test_near_duplicates(spark, block):
     assert neardup.one_of_each(empty(df)).collect() == []
 
 
+def test_chat_takes_given_token_counts(spark):
+    rows = [("a", i, "user", "x", 10) for i in range(20)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, n int"), 60, 20, tokens="n").collect()
+    assert max(r.tokens for r in made) <= 60 and sum(r.formatted.count(chat.START) - r.context_turns for r in made) == 20
+    assert all(r.context_turns == 2 for r in made if r.window)
+
+
+def near_copies(seed: int) -> list[str]:
+    """Groups of texts with edits on both sides of the limit, a chain, and texts around one common passage."""
+    r = random.Random(seed)
+    passage, out = words(seed, 60), []
+    for g in range(12):
+        base = words(100 * seed + g, 90).split()
+        for _ in range(12):
+            own = base[:]
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = f"edit{r.randrange(10**6)}"
+            out.append(" ".join(own))
+    step = words(50 + seed, 300).split()
+    out += [" ".join(step[i : i + 90]) for i in range(0, 120, 4)]
+    out += [f"{passage} {words(1000 + i, r.choice([3, 15, 40]))}" for i in range(40)]
+    return out
+
+
+@pytest.mark.parametrize("block", [8192, 16])
+def test_near_duplicates_lose_no_link(spark, block):
+    texts = near_copies(4)
+    sets = [neardup.shingle_set(t, 5) for t in texts]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if neardup.similarity_of(sets[i], sets[j]) >= 0.8]
+    group = components.forest(similar)
+    assert len(similar) > 150 and sum(neardup.similarity_of(sets[i], sets[j]) < 0.85 for i, j in similar) > 40
+    kept = {r.doc_id for r in neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()}
+    assert kept == {i for i in range(len(texts)) if group.get(i, i) == i}
+
+
 def test_top_k_tables(spark):
     r = np.random.default_rng(12)
     vectors = r.standard_normal((300, 6)).round(3)
@@ -212,6 +239,57 @@ def test_warc_round_trip(spark, tmp_path):
     assert spark.read.format("warc").load(empty_path).collect() == []
 
 
+def test_warc_overwrite_and_append(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/a"
+    save = lambda n, mode: warc.deduplicated(spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")), "page_id", "url", "html").write.format("warc").mode(mode).save(path)
+    read = lambda: sorted(r.page_id for r in spark.read.format("warc").load(path).collect())
+    save(3, "overwrite")
+    save(2, "overwrite")
+    assert read() == [0, 1]
+    save(1, "append")
+    assert read() == [0, 0, 1]
+
+
+class Counting:
+    """A source that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.at, self.read_bytes = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.data[self.at : self.at + n]
+        self.at, self.read_bytes = self.at + len(out), self.read_bytes + len(out)
+        return out
+
+
+def test_warc_steps_over_what_is_not_wanted(monkeypatch):
+    monkeypatch.setattr(warc, "READ", 1 << 10)
+    made = [warc.record("response", i, f"http://{i}", random.Random(i).randbytes(200_000), None, "2024-01-01T00:00:00Z") for i in range(5)]
+    for zipped in (False, True):
+        parts = [gzip.compress(m) for m in made] if zipped else made
+        places = np.cumsum([0, *map(len, parts[:-1])]) if zipped else None
+        source = Counting(b"".join(parts))
+        found = [headers["x-page-id"] if i != 3 else hashlib.sha256(block()).hexdigest() for i, (headers, block) in enumerate(warc.records(source, 0, len(source.data), zipped, places))]
+        assert found == ["0", "1", "2", hashlib.sha256(made[3].partition(b"\r\n\r\n")[2][:-4]).hexdigest(), "4"]
+        assert source.read_bytes < 200_000 + 30_000
+
+
+def test_warc_damaged_archives(spark, tmp_path):
+    warc.register(spark)
+    made = [warc.record("response", i, f"http://{i}", b"x" * 1000, None, "2024-01-01T00:00:00Z") for i in range(3)]
+    (tmp_path / "a.warc").write_bytes(b"".join(made)[:-500])
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, made))[:-30])
+    (tmp_path / "c.warc").write_bytes(b"")
+    read = spark.read.format("warc").load(str(tmp_path))
+    assert sorted(r.page_id for r in read.collect()) == [0, 0, 1, 1]
+    with pytest.raises(Exception, match="ends inside"):
+        spark.read.format("warc").option("strict", "true").load(str(tmp_path)).collect()
+
+
 def test_warc_plain_archives(spark, tmp_path):
     warc.register(spark)
     data = warc.record("response", 7, "http://x", b"body", None, "2024-01-01T00:00:00Z") + b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
