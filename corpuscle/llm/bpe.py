@@ -12,8 +12,7 @@ has not ended yet, so text comes out character by character and never has to be
 
 Rows: a null text counts as empty, and an empty text gives no ids. Each row is handled alone, so repeated rows,
 ties and rows of any length need nothing special; an empty table gives an empty table. Only the named columns
-are read; a result column replaces an input column of the same name. Code points that a newer Unicode version has
-assigned may be classed otherwise than by another library's matcher.
+are read; a result column replaces an input column of the same name.
 """
 
 from __future__ import annotations
@@ -21,17 +20,23 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corpuscle.llm.words import SPACE, LongMap, WordTable
+
 #: Entries after which a memo is emptied, so that a worker's memory stays bounded.
-MEMO, WORDS = 500_000, 700_000
+MEMO, WORDS = 500_000, 1 << 20
+#: Bytes of text that a query encodes at once.
+STEP = 1 << 20
 #: Longer pieces are encoded but not remembered.
 LONGEST_KEPT = 48
 
@@ -114,6 +119,8 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
         self.length = {rank: len(token) for token, rank in ranks.items()}
+        self._sizes = np.zeros(max(self.length, default=0) + 1, np.int64)
+        self._sizes[list(self.length)] = list(self.length.values())
         self.lookahead = max(self.length.values(), default=1)
         self._child: dict[int, int] = {}
         self._token_at, self._depth = [-1], [0]
@@ -136,6 +143,7 @@ class Transducer:
         self._states: list[tuple[int, ...]] = [(0,)]  # token + 1 in the low 32 bits: 0 where no token is before
         self._ids = {(0,): self.START}
         self._steps: dict[int, int] = {}  # the next state, and the token in the low 32 bits
+        self._known = LongMap()  # the same steps, for many pieces at once
 
     def step(self, state: int, byte: int) -> int:
         """The next state, and in the low 32 bits the last token of the encoding of what was read so far."""
@@ -185,6 +193,43 @@ class Transducer:
             n += 1
         return paths[0][:n]
 
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids as unsigned 32-bit numbers, of pieces within the lookahead: all of them take each step together, and
+        their tokens are told from the end."""
+        if self._known.size > 2 * MEMO:
+            self.reset()
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(order), 8192):
+            own = order[at : at + 8192]
+            for i, x in zip(own.tolist(), self._together([pieces[i] for i in own.tolist()], sizes[own]), strict=True):
+                out[i] = x
+        return out
+
+    def _together(self, pieces: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        width = int(sizes.max(initial=0))
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(len(pieces), -1)
+        ends, state = np.zeros((len(pieces), width), np.int64), np.full(len(pieces), self.START)
+        for at in range(width):
+            rows = slice(int(np.searchsorted(sizes, at, "right")), None)  # pieces come by size
+            keys = state[rows] << 8 | data[rows, at]
+            found = self._known.find(keys)
+            if (found < 0).any():
+                new = np.unique(keys[found < 0])
+                self._known.add(new, np.array([self._determinise(k >> 8, k & 255) for k in new.tolist()], np.int64))
+                found = self._known.find(keys)
+            state[rows], ends[rows, at] = found >> 32, found & 0xFFFFFFFF
+        made, at, rows = [], sizes.copy(), np.arange(len(pieces))
+        while len(rows := rows[at[rows] > 0]):
+            token = ends[rows, at[rows] - 1]
+            made.append((rows, token))
+            at[rows] -= self._sizes[token]
+        who, tokens = (np.concatenate(x[::-1]) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        flat = tokens[np.argsort(who, kind="stable")].astype("<u4").tobytes()
+        cuts = [0, *(4 * np.cumsum(np.bincount(who, minlength=len(pieces)))).tolist()]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, piece: bytes) -> list[int]:
         if len(self._steps) > 2 * MEMO:
             self.reset()
@@ -229,20 +274,22 @@ def spelled_out(pattern: str) -> str:
 class Codec:
     """Encodes and decodes texts by one table of ranks and one pattern.
 
-    by_words: the pattern begins a piece at each space between two other characters that are not white space, so
-    that such words can be remembered with the space before them.
+    by_words: a piece of the pattern begins wherever ASCII white space follows other characters, so that a run of white
+    space with the word after it can be cut and remembered by itself.
     """
 
-    def __init__(self, path: str, pattern: str, by_words: bool = True):
+    def __init__(self, path: str, pattern: str, by_words: bool = True, words: int = WORDS):
         self._by_words = by_words
         self.ranks = read_ranks(path)
         self.transducer = Transducer(self.ranks)
         self._cut_any, self._cut_low = regex.compile(pattern).findall, re.compile(spelled_out(pattern)).findall
         self._high = re.compile(f"[^\0-{chr(SPELLED_OUT - 1)}]").search
         self._one_each = {rank: rank for rank in self.ranks.values()}  # one object for each id
-        self._double = re.compile(r"\s\s|^\s|\s$").search
+        # Words that begin or end with white space beyond ASCII are no words by themselves.
+        self._odd = re.compile(r"(?:^[ \t\n\r\x0b\x0c]*(?![ \t\n\r\x0b\x0c])[\s\x1c-\x1f])|[\s\x1c-\x1f]$").search
+        self._blank = re.compile(r"[ \t\n\r\x0b\x0c]*").fullmatch
         self._pieces: dict[str, tuple[int, ...]] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._table = WordTable(self._learn, "<u4", words)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "replace")
@@ -263,33 +310,60 @@ class Codec:
             out += known(piece) or make(piece)
         return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self._span(f" {word}"))
-        if len(word) <= LONGEST_KEPT:
-            if len(self._words) >= WORDS:
-                self._words.clear()
-            self._words[word] = ids
-        return ids
+    def _learn(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of runs of white space with the word after them; None where the text around has to be seen."""
+        cut: list[list[str] | None] = []
+        for raw in words:
+            word = raw.decode("utf-8", "replace")
+            cut.append(None if self._odd(word) and not self._blank(word) else self.cut(word))
+        known: dict[str, bytes] = {}
+        fresh, whole = [], self.ranks.get
+        for piece in {p for parts in cut if parts for p in parts}:
+            raw = piece.encode("utf-8", "replace")
+            token = whole(raw)  # a piece that is itself a token is that token
+            if token is not None:
+                known[piece] = token.to_bytes(4, "little")
+            elif len(raw) > LONGEST_KEPT:
+                known[piece] = array("I", self._piece(piece)).tobytes()
+            else:
+                fresh.append((piece, raw))
+        known.update((p, x) for (p, _), x in zip(fresh, self.transducer.encode_many([raw for _, raw in fresh]), strict=True))
+        return [None if parts is None else b"".join([known[p] for p in parts]) for parts in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        text = text or ""
-        if not self._by_words or self._double(text):
-            return self._span(text)
-        first, *words = text.split(" ")
-        known, make, out = self._words.get, self._word, self._span(first)
-        for word in words:
-            out += known(word) or make(word)
+        return self.encode_batch([text])[0].tolist()
+
+    def encode_batch(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        raw = [t.encode("utf-8", "replace") if isinstance(t, str) else t or b"" for t in texts]
+        if not self._by_words:
+            return [np.array(self._span(t.decode("utf-8", "replace")), np.uint32) for t in raw]
+        whole, ends = b"".join(raw), np.cumsum([len(t) for t in raw], dtype=np.int64)
+        data = np.frombuffer(whole, np.uint8)
+        begins = SPACE[data]
+        begins[1:] &= ~begins[:-1]
+        begins[np.concatenate([[0], ends[:-1]])[[len(t) > 0 for t in raw]]] = True
+        starts = np.flatnonzero(begins)
+        entries = self._table.entries(whole, data, starts, np.append(starts[1:], len(data))[: len(starts)])
+        counts, ids = self._table.counts(entries), self._table.ids(entries)
+        last = np.concatenate([[0], np.searchsorted(starts, ends)])
+        cuts = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))])[last].tolist()
+        odd = np.concatenate([[0], np.cumsum(counts < 0)])[last]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(np.diff(odd)).tolist():
+            out[i] = np.array(self._span(raw[i].decode("utf-8", "replace")), np.uint32)
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         token = self.transducer.merges.bytes_of
         return b"".join([token[i] for i in ids])
 
-    def stream(self, ids: Sequence[int], errors: str = "replace", step: int = 1024) -> Iterator[str]:
+    def stream(self, ids: Sequence[int] | np.ndarray, errors: str = "replace", step: int = 1024) -> Iterator[str]:
         """The text of ids, `step` tokens at a time; what has not ended waits for the next step."""
         state = Utf8Stream(errors)
         for at in range(0, len(ids), step):
-            yield state.feed(self.decode_bytes(ids[at : at + step]))
+            part = ids[at : at + step]
+            yield state.feed(self.decode_bytes(part.tolist() if isinstance(part, np.ndarray) else part))
         yield state.end()
 
     def decode(self, ids: Sequence[int], errors: str = "replace") -> str:
@@ -348,7 +422,7 @@ def _mapped(df: DataFrame, name: str, kind: T.DataType, source: str, f) -> DataF
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of token ids (array of int)."""
-    return _mapped(df, ids, T.ArrayType(T.IntegerType()), text, lambda xs: pa.array([codec(path, pattern).encode(x) for x in xs], pa.list_(pa.int32())))
+    return _mapped(df, ids, T.ArrayType(T.IntegerType()), text, lambda xs: pa.array(codec(path, pattern).encode_batch(xs), pa.list_(pa.int32())))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -24,13 +24,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.llm.bpe import SPELLED_OUT, spelled_out
-from corpuscle.llm.shared import lean, stored
+from corpuscle.llm.shared import bounded, lean, stored
 from corpuscle.llm.words import LOWER, WordTable, laid_out, word_bounds
 
 #: Entries of a worker's table of words, and the longest piece that is merged in numpy.
@@ -183,17 +182,6 @@ class WordTokenizer:
         return out
 
 
-def bounded(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose texts have `size` bytes at most together, or are one row."""
-    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    at = 0
-    while at < len(lengths):
-        stop = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
-        yield at, stop
-        at = stop
-
-
 @cache
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)

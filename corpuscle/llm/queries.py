@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.llm import bpe, chat, jpeg, mil, mtree, packing, patience, simhash, suffix, warc
-from corpuscle.llm.shared import new_path, tables
+from corpuscle.llm.shared import bounded, new_path, tables
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,18 +26,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(BYTE_BPE, PATTERN)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
+        shown = [str(i) for i in range(max(codec.ranks.values()) + 1)]
         for b in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = codec.encode(text)
-                counts.append(len(ids))
-                ids_sha.append(sha(",".join(map(str, ids)).encode()))
-                back = hashlib.sha256()
-                for part in codec.stream(ids):
-                    back.update(part.encode())
-                text_sha.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = b.column(1).cast(pa.binary())
+            for at, stop in bounded(texts, bpe.STEP):
+                counts, ids_sha, text_sha = [], [], []
+                for ids in codec.encode_batch(texts.slice(at, stop - at).to_pylist()):
+                    counts.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join([shown[i] for i in ids.tolist()]).encode()).hexdigest())
+                    back = hashlib.sha256()
+                    for part in codec.stream(ids):
+                        back.update(part.encode())
+                    text_sha.append(back.hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return tables(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -14,7 +14,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +99,17 @@ def lean(f: Callable) -> Callable:
     return run
 
 
+def bounded(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts have `size` bytes at most together, or are one row."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    at = 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+        yield at, stop
+        at = stop
+
+
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes its hash, its length in bytes, and its bytes in zstd; null counts as empty."""
     z = zstandard.ZstdCompressor(level=3)

@@ -46,6 +46,51 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
+class LongMap:
+    """Numbers to numbers, both at least 0, for many at once."""
+
+    def __init__(self, bits: int = 16):
+        self._key, self._value, self.size = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64), 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        bits = len(self._key).bit_length() - 1
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        slot = self._home(keys)
+        there = self._key[slot]
+        out = np.where(there == keys, self._value[slot], -1)
+        todo = np.flatnonzero((there >= 0) & (there != keys))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & (len(self._key) - 1)
+            there, wanted = self._key[slot], keys[todo]
+            same = there == wanted
+            out[todo[same]] = self._value[slot[same]]
+            on = (there >= 0) & ~same
+            todo, slot = todo[on], slot[on]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New, distinct keys."""
+        self.size += len(keys)
+        if 2 * self.size > len(self._key):
+            own = self._key >= 0
+            keys, values = np.concatenate([self._key[own], keys]), np.concatenate([self._value[own], values])
+            bits = (4 * self.size - 1).bit_length()
+            self._key, self._value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        slot = self._home(keys)
+        while len(keys):
+            free = np.flatnonzero(self._key[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self._key[slot[mine]], self._value[slot[mine]] = keys[mine], values[mine]
+            rest = np.ones(len(keys), bool)
+            rest[mine] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & (len(self._key) - 1)
+
+
 class WordTable:
     """Word -> ids; entries are numbered, so a batch is looked up once and its ids are gathered once.
 
