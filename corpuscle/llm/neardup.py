@@ -80,7 +80,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     last = np.searchsorted(starts, ends)
     first = np.concatenate([[0], last[:-1]])
     whole = words.copy()
-    for j in range(1, width):
+    for j in range(1, min(width, len(words))):
         whole[: len(words) - j] = _mixed(whole[: len(words) - j] * _A + words[j:])
     out = []
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
