@@ -58,7 +58,8 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _under(edges: DataFrame) -> DataFrame:
     """Large star then small star; edges: (child, parent) with child > parent."""
     both = edges.select(F.col("child").alias("u"), F.col("parent").alias("v")).union(edges.select(F.col("parent").alias("u"), F.col("child").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    # Cut off, so that the join deals both sides anew and Spark can split a hub's rows.
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).checkpoint()
     large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
     low = large.groupBy("child").agg(F.min("parent").alias("m"))
     small = large.join(low, "child")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import lean
+from corpuscle.llm.shared import lean, small_batches
 
 #: Blocks (or sets of interleaved blocks) between restarts, and bytes of payload that are worth a step of their own.
 INTERVAL, BATCH = 8, 3 << 20
@@ -670,6 +670,7 @@ def media(df: DataFrame, text: str = "text", derive: Callable[..., list[pa.Array
     derive(n_bytes, files, payloads, tensors) may give other columns (`derived`) in their place, if a query needs
     no tensor but what is computed from it: the tensors then stay in the task.
     """
+    small_batches(df.sparkSession)
     made = derived if derive else _MEDIA
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in made}]
 
@@ -700,6 +701,7 @@ def decoded(files: list[bytes | None]) -> list[np.ndarray | None]:
 
 def tensors(df: DataFrame, column: str = "media") -> DataFrame:
     """df with height, width and rgb of a column of progressive JPEG files."""
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in _TENSOR}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import lean
+from corpuscle.llm.shared import lean, small_batches
 
 WORDS = 64
 #: Bytes of text that are described at once.
@@ -197,6 +197,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id"
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """df with the score of its texts, between 0 and 1; a column of that name is replaced."""
+    small_batches(df.sparkSession)
     kept = [f.name for f in df.schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.llm.bpe import SPELLED_OUT, spelled_out
-from corpuscle.llm.shared import bounded, lean, stored
+from corpuscle.llm.shared import bounded, lean, small_batches, stored
 from corpuscle.llm.words import LOWER, WordTable, laid_out, word_bounds
 
 #: Entries of a worker's table of words, and the longest piece that is merged in numpy.
@@ -189,6 +189,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 def pieces(df: DataFrame, path: str, end: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids) of each text's ids and the end token; ids as little-endian 32-bit numbers."""
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(x, T.LongType()) for x in ("piece", "start", "length")), T.StructField("ids", T.BinaryType())])
     schema["piece"].dataType = T.IntegerType()

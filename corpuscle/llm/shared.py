@@ -83,6 +83,15 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return made
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python workers are bounded by their bytes, not by rows alone, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def lean(f: Callable) -> Callable:
     """f, a function of batches, whose worker gives freed memory back to the system when a task is over."""
 
@@ -125,6 +134,7 @@ def unzipped(z: bytes | None) -> bytes:
 
 def texts_by_id(df: DataFrame, text: str, columns: list[T.StructField], name: str) -> DataFrame:
     """(id, c0.., sha, n_bytes, z) of df, in buckets of a new id: columns under numbers, and the text by zipped()."""
+    small_batches(df.sparkSession)
     kinds = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(columns)]
     made = [T.StructField("sha", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("z", T.BinaryType())]
     rows = df.select(*(F.col(f"`{f.name}`").alias(k.name) for f, k in zip(columns, kinds, strict=True)), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -132,4 +142,5 @@ def texts_by_id(df: DataFrame, text: str, columns: list[T.StructField], name: st
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -367,7 +367,13 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin[first], stop[np.append(first[1:], len(begin)) - 1] if len(begin) else stop
 
 
-def _removed(length: int, columns: int, keep_bytes: bool):
+def _long_enough(text: bytes, begin: np.ndarray, stop: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that hold so many words, those cut at a run's ends included."""
+    ok = np.array([len(text[a:b].split()) >= least_words for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], bool)
+    return begin[ok], stop[ok]
+
+
+def _removed(length: int, columns: int, keep_bytes: bool, least_words: int):
     """Rows of (columns, sha, n_bytes, z, copied, spans) become (columns, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,16 +381,17 @@ def _removed(length: int, columns: int, keep_bytes: bool):
             sha, sizes, z, copied, spans = (b.column(columns + i) for i in range(5))
             out: list[tuple] = []
             for i, (h, n, double) in enumerate(zip(sha.to_pylist(), sizes.to_pylist(), copied.to_pylist(), strict=True)):
-                if double and n >= length:
+                if double and n >= length and (not least_words or len(unzipped(z[i].as_py()).split()) >= least_words):
                     out.append((n, 1, hashlib.sha256().hexdigest(), b""))
                     continue
-                plain = not spans[i].is_valid
+                plain = double or not spans[i].is_valid
                 text = b"" if plain and not keep_bytes else unzipped(z[i].as_py())
                 if plain:
                     out.append((0, 0, h.hex(), text))
                     continue
                 own = spans[i].values
                 begin, stop = merged(own.field("begin").to_numpy(), own.field("stop").to_numpy())
+                begin, stop = _long_enough(text, begin, stop, least_words) if least_words else (begin, stop)
                 edges = [0, *np.stack([begin, stop], 1).ravel().tolist(), n]
                 kept = b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
                 out.append((n - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept))
@@ -395,19 +402,20 @@ def _removed(length: int, columns: int, keep_bytes: bool):
     return run
 
 
-def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_bytes: bool = True) -> DataFrame:
+def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_bytes: bool = True, least_words: int = 0, gram: int = GRAM) -> DataFrame:
     """df without the text, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary); columns of
-    df with these names are replaced."""
+    df with these names are replaced. least_words: covered runs of fewer words stay. gram: bytes of the grams that name
+    windows, less than length; results do not depend on it."""
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     columns = [f for f in df.schema.fields if f.name not in made and f.name != text]
     names = [f"c{i}" for i in range(len(columns))]
     base = texts_by_id(df, text, columns, "texts")
     groups = stored(base.groupBy("sha").agg(F.min("id").alias("id"), F.least(F.count("*"), F.lit(2)).alias("n")), "copies")
-    spans = covered(base.where(F.col("n_bytes") >= length).select("id", "z").join(groups.select("id", "n"), "id"), length)
+    spans = covered(base.where(F.col("n_bytes") >= length).select("id", "z").join(groups.select("id", "n"), "id"), length, gram)
     copied = base.select("id", "sha").join(groups.where("n > 1").select("sha"), "sha", "left_semi").select("id", F.lit(True).alias("copied"))
     rows = base.join(copied, "id", "left").join(spans, "id", "left").select(*names, "sha", "n_bytes", "z", "copied", "spans")
     kinds = [T.StructField(n, f.dataType) for n, f in zip(names, columns, strict=True)]
     added = [T.StructField(n, T.LongType()) for n in made[:3]] + [T.StructField("kept_sha256", T.StringType())]
     added += [T.StructField("kept", T.BinaryType())] if keep_bytes else []
-    out = rows.mapInArrow(lean(_removed(length, len(names), keep_bytes)), T.StructType([*kinds, *added]))
+    out = rows.mapInArrow(lean(_removed(length, len(names), keep_bytes, least_words)), T.StructType([*kinds, *added]))
     return out.select(*(F.col(n).alias(f.name) for f, n in zip(columns, names, strict=True)), *(f.name for f in added))

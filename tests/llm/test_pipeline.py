@@ -1,14 +1,18 @@
 """The pipeline's stages on the smallest tables against plain versions."""
 
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from corpuscle.llm.components import forest
+from corpuscle.llm import shared
 from corpuscle.llm.neardup import shingle_set, similarity_of
+from tests.llm.plain import words
 
 DIR = "/root/testdata/sf0.001"
 
@@ -47,6 +51,9 @@ def test_stages(spark, tmp_path):
         for p in range(len(t) - n + 1):
             if count[t[p : p + n]] > 1:
                 lost[p : p + n] = True
+        edges = np.flatnonzero(np.diff(np.r_[0, lost, 0]))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            lost[a:b] = len(t[a:b].split()) >= corpus_pipeline.PASSAGE_WORDS
         assert text == np.frombuffer(t, np.uint8)[~lost].tobytes().decode("utf-8", "ignore")
     assert (cut.n_chars == cut.text.str.len()).all() and len(cut) == len(single)
 
@@ -64,3 +71,41 @@ def test_stages(spark, tmp_path):
     for _, own in packed.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own.offset.tolist() == np.concatenate([[0], own.length.cumsum()])[:-1].tolist() and own.length.sum() <= 4096
+
+
+ODD = [
+    (1, None), (2, ""), (3, " "), (4, "one"), (5, "one"), (None, "one"), (6, None), (7, words(1, 9000)), (8, words(2, 80)), (9, words(2, 80) + " more"),
+    *((10 + i, f"{words(20 + i, 70)} {words(3, 60)} {words(40 + i, 70)}") for i in range(4)), (20, f"{words(50, 70)} {words(4, 45)}"), (21, f"{words(51, 70)} {words(4, 45)}"),
+]
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and empty texts, repeats, ties, a null key, a very long text, and columns with clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, None, None, None) for r in ODD], schema).withColumn("id", F.lit(1)).withColumn("z", F.lit("z"))
+    labels = "/root/testdata/sf0.001"
+    for frame in (docs, docs.where("false")):
+        rows = frame.count()
+        good = corpus_pipeline.quality(spark, frame, labels)
+        assert good.columns == corpus_pipeline.COLUMNS and good.count() <= rows
+        single = corpus_pipeline.near_duplicates(spark, frame, labels)
+        cut = corpus_pipeline.repeated_passages(spark, single, labels)
+        packed = corpus_pipeline.packed(spark, cut, labels).collect()
+        if not rows:
+            assert single.collect() == [] and cut.collect() == [] and packed == []
+    single = corpus_pipeline.near_duplicates(spark, docs, labels)
+    kept = {r.doc_id: r.text for r in single.collect()}
+    assert set(kept) == {1, 4, 7, 8, 10, 11, 12, 13, 20, 21} and kept[1] == ""
+    cut = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, single, labels).collect()}
+    assert all(words(3, 60)[10:-10] not in cut[10 + i] and words(20 + i, 70) in cut[10 + i] for i in range(4))
+    assert cut[20] == kept[20] and cut[7] == kept[7]  # forty-five words may repeat
+
+
+def test_nothing_is_left_behind(spark):
+    before = len(spark.catalog.listTables())
+    with shared.scratch(spark):
+        paths = [shared.new_path(spark, "x")]
+        made = shared.bucketed(spark.range(10).withColumnRenamed("id", "k"), "k", "y")
+        assert made.count() == 10 and len(spark.catalog.listTables()) == before
+        spark.range(3).write.parquet(paths[0])
+    assert not os.path.exists(paths[0].removeprefix("file://"))
