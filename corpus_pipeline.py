@@ -19,8 +19,8 @@ from corpuscle.llm.shared import new_path, scratch, tables
 
 #: A document stays if its score is at least this; half, as a clean document must not go.
 KEEP = 0.5
-#: Bytes of a repeated passage; fifty words of the shortest usual length.
-PASSAGE = 200
+#: Words of a repeated passage, its bytes (words of two letters on average), and the grams by which it is found.
+PASSAGE_WORDS, PASSAGE, GRAM = 51, 150, 60
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,14 +36,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur elsewhere, too; a character that is cut in two goes with its passage."""
+    """Documents without passages of over fifty words that occur elsewhere, too, or twice in them; a character that is
+    cut in two goes with its passage. Runs of repeated strings of `PASSAGE` bytes that hold fewer words stay."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string()), b.column(2), b.column(3), pa.array([len(t) for t in made], pa.int64())], COLUMNS)
 
-    kept = suffix.deduplicated(docs.select("doc_id", "text", "lang", "source"), length=PASSAGE)
+    kept = suffix.deduplicated(docs.select("doc_id", "text", "lang", "source"), length=PASSAGE, least_words=PASSAGE_WORDS, gram=GRAM)
     return kept.select("doc_id", "kept", "lang", "source").mapInArrow(texts, docs.select(*COLUMNS).schema)
 
 

@@ -540,7 +540,10 @@ def softmax_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selection(spark, sf_dir).select("group_id", "solution", F.round("p", 7).alias("p"))
 
 
-@query()
+@query(
+    f"""WITH {_SELECTED}, u AS (SELECT *, sum(p) OVER (PARTITION BY group_id ORDER BY solution) AS upto, max(solution) OVER (PARTITION BY group_id) AS final FROM sel)
+SELECT group_id, CAST(draw AS INTEGER) AS draw, coalesce(min(solution) FILTER (WHERE upto >= draw / 10), max(final)) AS solution FROM u CROSS JOIN range(1, 10) AS d(draw) GROUP BY group_id, draw"""
+)
 def roulette_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine draws from each group at fixed numbers."""
     chances = _selection(spark, sf_dir)
