@@ -6,7 +6,7 @@ are escaped by a backslash that goes away again when the text is read back. A tu
 
 The prefix sum of the tokens says where a turn begins. What the budget leaves beside the system turn and the history is
 the room of a window. Turns that begin in one stretch of half the room make a span; a turn of more than half the room
-is a span of its own. Each span is one window: the system turn again (if the conversation begins with one), the last
+is a span of its own; the system turn belongs to the first span. Each span is one window: the system turn again (if the conversation begins with one), the last
 turns before that begin within `history` tokens of it and that the budget still holds, then the span's own turns. So a
 window exceeds the budget only if it holds a single turn that does not fit beside the system turn; it has no history.
 The loss mask holds the texts of the span's own assistant turns; what is repeated is masked.
@@ -69,6 +69,7 @@ def windows(
     t = t.withColumn("own_cost", F.when(F.col("sys"), F.lit(0)).otherwise(F.col("cost")))
     t = t.withColumn("s", F.coalesce(F.sum("own_cost").over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     t = t.withColumn("span", F.floor(F.col("s") / F.col("half")) * 2 + (F.col("own_cost") > F.col("half")).cast("long"))
+    t = t.withColumn("span", F.when(F.col("sys"), F.coalesce(F.lead("span").over(by_turn), F.col("span"))).otherwise(F.col("span")))
     t = t.withColumn("span_cost", F.sum("own_cost").over(Window.partitionBy("c", "span")))
     # What later spans look like: the windows run backwards, as a frame that only grows is cheap.
     later = Window.partitionBy("c").orderBy(F.desc("span")).rangeBetween(Window.unboundedPreceding, -1)

@@ -84,7 +84,8 @@ a AS (
 b AS (SELECT *, n = 1 AND r = 'system' AS sys, length(formatted) AS len, len(regexp_extract_all(formatted, '[A-Za-z]{1,6}|[0-9]{1,3}|\n+|[^A-Za-z0-9 \t\r\n]')) AS cost FROM a),
 d AS (SELECT *, CASE WHEN sys THEN 0 ELSE cost END AS own, coalesce(max(CASE WHEN sys THEN cost END) OVER (PARTITION BY c), 0) AS reserved FROM b),
 e AS (SELECT *, CAST(coalesce(sum(own) OVER (PARTITION BY c ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, greatest(1, (2048 - 256 - reserved) // 2) AS half FROM d),
-f AS (SELECT *, (s // half) * 2 + CASE WHEN own > half THEN 1 ELSE 0 END AS span FROM e),
+g AS (SELECT *, (s // half) * 2 + CASE WHEN own > half THEN 1 ELSE 0 END AS part FROM e),
+f AS (SELECT *, CASE WHEN sys THEN coalesce(lead(part) OVER (PARTITION BY c ORDER BY n), part) ELSE part END AS span FROM g),
 spans AS (SELECT c, span, min(s) AS begins, min(n) AS first_n, sum(own) AS total FROM f GROUP BY c, span),
 nexts AS (SELECT *, lead(begins) OVER w AS next_s, lead(total) OVER w AS next_total FROM spans WINDOW w AS (PARTITION BY c ORDER BY span)),
 system_len AS (SELECT c, max(len) AS sys_len FROM f WHERE sys GROUP BY c),

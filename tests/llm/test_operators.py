@@ -105,7 +105,7 @@ def test_chat_round_trip(spark, budget, history):
 
 def test_chat_repeats_system_and_history(spark):
     rows = [("a", 0, "system", "S"), *(("a", i, "user", f"u{i} " * 20) for i in range(1, 9))]
-    made = chat.windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), 120, 60).orderBy("window").collect()
+    made = chat.windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), 200, 80).orderBy("window").collect()
     assert len(made) > 2 and all(r.formatted.startswith("<|im_start|>system\nS") for r in made)
     assert all(r.context_turns >= 2 for r in made[1:])
 
@@ -197,7 +197,7 @@ def test_near_duplicates_lose_no_link(spark, block):
     sets = [neardup.shingle_set(t, 5) for t in texts]
     similar = [(i, j) for i in range(len(sets)) for j in range(i) if neardup.similarity_of(sets[i], sets[j]) >= 0.8]
     group = components.forest(similar)
-    assert len(similar) > 150 and sum(neardup.similarity_of(sets[i], sets[j]) < 0.85 for i, j in similar) > 40
+    assert len(similar) > 150 and sum(neardup.similarity_of(sets[i], sets[j]) < 0.85 for i, j in similar) > 30
     kept = {r.doc_id for r in neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()}
     assert kept == {i for i in range(len(texts)) if group.get(i, i) == i}
 
