@@ -6,7 +6,9 @@ both ends of a gap have been paired. Coverage is the share of a template's words
 
 A document is not aligned as a whole, as a notice may stand in it more than once: each word that is unique in a template
 votes for the place where the template would begin, and windows with enough votes are aligned. Windows may lie anywhere
-in a text of any length. A notice is reported from `coverage` (0.8) on; of overlapping ones of a template the best.
+in a text of any length. Words that are put in or left out move the place that later words vote for: a copy is met if
+these places lie within a quarter of the template's words of each other (three at least); one that is stretched more
+may be missed, although it would align. A notice is reported from `coverage` (0.8) on; of overlapping ones of a template the best.
 
 Rows: null and empty texts have no notices and so no rows; repeated rows are scanned each on its own; equal coverage
 goes to the shorter, then the earlier place. An empty table gives an empty table. Only the key and text columns are
@@ -23,7 +25,30 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Short notices, and the permission texts of common licences.
+# Short notices, the permission texts of common licences, and their whole texts.
+_MIT_DISCLAIMER = (
+    "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, "
+    "fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other "
+    "liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings "
+    "in the Software."
+)
+_BSD_DISCLAIMER = (
+    "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the "
+    "implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be "
+    "liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute "
+    "goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict "
+    "liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_ISC_DISCLAIMER = (
+    "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability "
+    "and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from "
+    "loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or "
+    "performance of this software."
+)
 TEMPLATES = {
     "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3",
     "cc-by-nc-4-notice": "Licensed under CC BY-NC 4.0",
@@ -58,6 +83,29 @@ TEMPLATES = {
         "materials provided with the distribution."
     ),
 }
+TEMPLATES |= {
+    "mit-full": f"{TEMPLATES['mit']} {_MIT_DISCLAIMER}",
+    "isc-full": f"{TEMPLATES['isc']} {_ISC_DISCLAIMER}",
+    "bsd-2-clause-full": f"{TEMPLATES['bsd-2-clause']} {_BSD_DISCLAIMER}",
+    "bsd-3-clause-full": f"{TEMPLATES['bsd-2-clause']} {_BSD_THIRD} {_BSD_DISCLAIMER}",
+    "mpl-2-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser "
+        "General Public License for more details."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that "
+        "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make "
+        "this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
+}
 
 _WORD = re.compile(r"[^\W_]+").findall
 

@@ -85,3 +85,23 @@ def test_tables(spark):
     got = sorted((r.doc_id or 0, r.license, r.first_word, r.n_words, r.coverage) for r in patience.scan(df).collect())
     assert got == [(0, "mit-notice", 0, 5, 1.0), (1, "mit-notice", 1, 5, 1.0), (1, "mit-notice", 1, 5, 1.0)]
     assert patience.scan(df.where("false")).collect() == []
+
+
+def test_whole_texts_of_licences():
+    r = random.Random(5)
+    filler = lambda n: " ".join("".join(r.choices("xyzuvw", k=6)) for _ in range(n))
+    scanner = Scanner(patience.TEMPLATES)
+    for name, template in patience.TEMPLATES.items():
+        own = words(template)
+        text = f"{filler(200)} {' '.join(own)} {filler(50)}"
+        assert (name, 200, len(own), len(own), 1.0) in scanner.scan(text), name
+    full = {x[0] for x in scanner.scan(patience.TEMPLATES["bsd-3-clause-full"])}
+    assert {"bsd-2-clause", "bsd-3-clause-full"} <= full and "isc-full" not in full and "mit-full" not in full
+
+
+def test_a_copy_within_the_bound_is_met():
+    own = words(patience.TEMPLATES["apache-2-header"])
+    scanner = Scanner(patience.TEMPLATES)
+    every = lambda n: [x for i, w in enumerate(own) for x in ((w, "foreign") if i % n == n - 1 else (w,))]
+    assert len(every(4)) - len(own) <= len(own) // 4
+    assert [x[3] for x in scanner.scan(" ".join(every(4))) if x[0] == "apache-2-header"] == [len(own)]
