@@ -41,8 +41,10 @@ from corpuscle.llm.words import LOWER, laid_out, ranges, word_bounds
 BLOCK = 8192
 #: Smallest hashes of a set that are keys of the first round, and rows of a large key that all its blocks see there.
 LEADS, ANCHORS = 8, 64
-#: Buckets of the shingle counts (a power of two), and parities of a set.
-BUCKETS, PARITIES = 1 << 16, 512
+#: Buckets of the shingle counts (a power of two), and the fewest parities of a set; larger sets have up to 128 times as many.
+BUCKETS, PARITIES, FINEST = 1 << 16, 512, 7
+#: Bytes of parities that are compared at once.
+COMPARED = 8 << 20
 #: Bytes of texts that are cut into shingles at once.
 STEP = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -121,8 +123,50 @@ def simhash_of(own: np.ndarray) -> int:
 
 
 def parities(own: np.ndarray) -> bytes:
-    """Whether an odd number of hashes falls in each of the classes: sets differ in at least as many hashes as bits."""
-    return np.packbits(np.bincount((own * _A >> np.uint64(55)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+    """Whether an odd number of hashes falls in each of as many classes as there are hashes, or up to twice as many.
+
+    Sets differ in at least as many hashes as parities. The parities of fewer classes are those of two halves together.
+    """
+    level = min(FINEST, max(0, (max(1, len(own)) - 1).bit_length() - (PARITIES - 1).bit_length()))
+    n = PARITIES << level
+    odd = np.bincount((own * _A >> np.uint64(32)).astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(odd).tobytes()
+
+
+class Parities:
+    """The parities of many sets. For each level the rows whose parities are that fine or finer, at that level."""
+
+    def __init__(self, rows: list[bytes]):
+        width = PARITIES // 64
+        self.level = np.array([(len(x) // (8 * width)).bit_length() - 1 for x in rows], np.int64)
+        self._at, self._bits = [], []
+        for level in range(int(self.level.max(initial=-1)) + 1):
+            own = np.flatnonzero(self.level >= level)
+            at, bits = np.full(len(rows), -1), np.empty((len(own), width << level), np.uint64)
+            at[own] = np.arange(len(own))
+            for finer in range(level, int(self.level.max()) + 1):
+                some = np.flatnonzero(self.level == finer)
+                made = np.frombuffer(b"".join([rows[i] for i in some.tolist()]), np.uint64).reshape(len(some), width << finer)
+                while made.shape[1] > width << level:
+                    made = made[:, : made.shape[1] // 2] ^ made[:, made.shape[1] // 2 :]
+                bits[at[some]] = made
+            self._at.append(at)
+            self._bits.append(bits)
+
+    def within(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether the sets of each pair may differ in no more hashes than the limit."""
+        ok = np.ones(len(a), bool)
+        finest = np.minimum(self.level[a], self.level[b])
+        for level, (at, bits) in enumerate(zip(self._at, self._bits, strict=True)):
+            if level and not (finest >= level).any():
+                break
+            # All pairs at the coarsest level, those that pass at the finest that both have.
+            todo = np.flatnonzero(ok & (finest == level)) if level else np.arange(len(a))
+            step = COMPARED // (8 * bits.shape[1])
+            for first in range(0, len(todo), step):
+                own = todo[first : first + step]
+                ok[own] = np.bitwise_count(bits[at[a[own]]] ^ bits[at[b[own]]]).sum(1, dtype=np.int64) <= limit[own]
+        return ok
 
 
 def prefix(own: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -212,7 +256,7 @@ def _met(block: int):
 
 
 class Rows:
-    """Columns of sorted rows (key, part, unit, label, size, bits)."""
+    """Columns of sorted rows (key, part, unit, label, size, bits); bits are parities()."""
 
     def __init__(self, key, part, unit, label, size, bits):
         self.columns = (key, part, unit, label, size, bits)
@@ -220,7 +264,8 @@ class Rows:
 
     @classmethod
     def of(cls, b: pa.RecordBatch) -> Rows:
-        bits = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        bits = np.empty(b.num_rows, object)
+        bits[:] = b.column(5).to_pylist()
         return cls(*(b.column(i).to_numpy() for i in range(5)), bits)
 
     def __len__(self) -> int:
@@ -235,20 +280,11 @@ class Rows:
     def groups(self) -> np.ndarray:
         return np.cumsum(np.concatenate([[0], (self.key[1:] != self.key[:-1]) | (self.part[1:] != self.part[:-1])]))
 
-    def may_be_similar(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-        """False only for pairs that cannot reach the similarity, by their sizes or the least number of differences."""
-        x, y = self.size[a], self.size[b]
-        ok = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
-        some = np.flatnonzero(ok)
-        differ = np.bitwise_count(self.bits[a[some]] ^ self.bits[b[some]]).sum(1, dtype=np.int64)
-        ok[some] = differ <= (x[some] + y[some]) * (1 - similarity) / (1 + similarity) + 1e-9
-        return ok
-
 
 def meetings(rows: Rows, similarity: float, joining: bool) -> np.ndarray:
     """Pairs of units of different labels in a group that may be similar: all, or with `joining` those that join what
     is apart when the pairs before are taken for links."""
-    group = rows.groups()
+    group, bits = rows.groups(), Parities(rows.bits.tolist())
     names, top = np.unique(rows.label, return_inverse=True)
     up = np.arange(len(names))  # of each label the one that it was joined to
     out: list[np.ndarray] = []
@@ -261,7 +297,11 @@ def meetings(rows: Rows, similarity: float, joining: bool) -> np.ndarray:
     def take(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> None:
         ok = np.flatnonzero(up[top[order[a]]] != up[top[order[b]]])
         a, b = order[a[ok]], order[b[ok]]
-        ok = rows.may_be_similar(a, b, similarity)
+        # False only for pairs that cannot reach the similarity: by their sizes, or the least number of differences.
+        x, y = rows.size[a], rows.size[b]
+        ok = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+        a, b, most = a[ok], b[ok], (x[ok] + y[ok]) * (1 - similarity) / (1 + similarity) + 1e-9
+        ok = bits.within(a, b, most)
         a, b = a[ok], b[ok]
         if joining:
             new = []

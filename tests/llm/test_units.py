@@ -237,14 +237,15 @@ def test_merged_spans():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 2**32 - 1), st.integers(1, 400))
+@given(st.integers(0, 2**32 - 1), st.one_of(st.integers(1, 400), st.sampled_from([500, 515, 1020, 1100, 3000])))
 def test_similar_sets_share_a_prefix_and_pass_the_bounds(seed, n):
     r = np.random.default_rng(seed)
     base = r.integers(0, 2**63, 3 * n + 4, np.uint64) << np.uint64(1) | r.integers(0, 2, 3 * n + 4).astype(np.uint64)
     sets = [np.unique(base[:n])] + [np.unique(np.concatenate([base[k : n + int(r.integers(0, n // 8 + 1))], base[2 * n : 2 * n + int(r.integers(0, n // 8 + 1))]])) for k in r.integers(0, n // 8 + 1, 5).tolist()]
     counts = r.integers(0, 3, neardup.BUCKETS)
     z = np.zeros(len(sets), np.int64)
-    bits = np.frombuffer(b"".join(neardup.parities(x) for x in sets), np.uint64).reshape(len(sets), -1)
+    bits = np.empty(len(sets), object)
+    bits[:] = [neardup.parities(x) for x in sets]
     rows = neardup.Rows(z, z, np.arange(len(sets)), np.arange(len(sets)), np.array([len(x) for x in sets]), bits)
     met = {tuple(p) for p in neardup.meetings(rows, 0.8, False).tolist()}
     for i, j in ((i, j) for j in range(len(sets)) for i in range(j)):
@@ -256,7 +257,8 @@ def test_similar_sets_share_a_prefix_and_pass_the_bounds(seed, n):
 def test_a_crowd_loses_no_pair_to_links_that_fail():
     # 0-1 and 1-2 would join 0 and 2; once they have failed, 0-2 must still come.
     n, z = 40, np.zeros(40, np.int64)
-    bits = np.zeros((n, neardup.PARITIES // 64), np.uint64)
+    bits = np.empty(n, object)
+    bits[:] = [bytes(neardup.PARITIES // 8)] * n
     rows = lambda label: neardup.Rows(z, z, np.arange(n), label, np.full(n, 100), bits)
     joined = neardup.meetings(rows(np.arange(n)), 0.8, True)
     assert len(joined) == n - 1 and components.forest(map(tuple, joined.tolist())) == dict.fromkeys(range(n), 0)
@@ -265,6 +267,18 @@ def test_a_crowd_loses_no_pair_to_links_that_fail():
     assert {tuple(p) for p in neardup.meetings(rows(halves), 0.8, False).tolist()} == {(a, b) for b in range(n) for a in range(b) if a % 2 != b % 2}
 
 
+def test_parities_keep_large_sets_apart():
+    r = np.random.default_rng(6)
+    passage = r.integers(0, 2**63, 60, np.uint64)
+    for n in (300, 700, 1500, 5000, 40_000):
+        a, b = (np.unique(np.concatenate([passage, r.integers(0, 2**63, k, np.uint64)])) for k in (n, n + n // 8))
+        both, limit = neardup.Parities([neardup.parities(a), neardup.parities(b)]), np.array([(len(a) + len(b)) / 9])
+        assert not both.within(np.array([0]), np.array([1]), limit).any()
+        near = np.unique(np.concatenate([a[: len(a) - len(a) // 20], b[: len(a) // 30]]))
+        both = neardup.Parities([neardup.parities(a), neardup.parities(near)])
+        assert both.within(np.array([0]), np.array([1]), limit).all() and neardup.similarity_of(a, near) > 0.9
+
+
 def test_rows_that_meet_are_numbered_across_batches():
     r = np.random.default_rng(4)
     key = np.sort(r.integers(0, 60, 400))
