@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import lean, small_batches
+from corpuscle.llm.shared import lean, small_batches, trim
 
 WORDS = 64
 #: Bytes of text that are described at once.
@@ -191,8 +191,12 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id"
     order = np.argsort(rows["k"].to_numpy(), kind="stable")
     label_of, xs = rows["y"].to_numpy()[order].astype(np.float32), rows["x"].to_pylist()
     bags = [np.frombuffer(xs[i], np.float16).reshape(-1, WIDTH) for i in order]
-    del rows, xs
-    return train(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), label_of)
+    owner, x = np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.concatenate(bags)
+    del rows, xs, bags
+    model = train(x, owner, label_of)
+    del x
+    trim()
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

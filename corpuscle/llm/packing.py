@@ -221,29 +221,25 @@ class Sums:
     triples, longest first. Lengths only vanish while a plan is made, so no combination is missed."""
 
     def __init__(self, present: np.ndarray, capacity: int):
-        low = np.flatnonzero(present)
-        self._larger = self._by_sum(low, lambda x: low[: np.searchsorted(low, x, "right")], capacity)
-        paired = np.flatnonzero(np.diff(self._larger[1]))  # sums that some pair has
-        self._largest = self._by_sum(low, lambda x: paired[: np.searchsorted(paired, 2 * x, "right")], capacity)
+        down = np.flatnonzero(present)[::-1].astype(np.uint16 if capacity < 1 << 16 else np.int64)  # longest first
+        self._larger = self._parts(down, present, capacity, 1)
+        self._largest = self._parts(down, np.array([len(x) > 0 for x in self._larger]), capacity, 2)
 
     @staticmethod
-    def _by_sum(lengths: np.ndarray, others, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-        """The parts, by sum, and where each sum's parts begin; others(x): what a part x is added to."""
-        sums, parts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for x in lengths[::-1].tolist():
-            own = others(x)
-            own = own[: np.searchsorted(own, capacity - x, "right")] + x
-            sums.append(own.astype(np.int32))
-            parts.append(np.full(len(own), x, np.int32))
-        total = np.concatenate(sums)
-        order = np.argsort(total, kind="stable")
-        return np.concatenate(parts)[order], np.searchsorted(total[order], np.arange(capacity + 2))
+    def _parts(down: np.ndarray, others: np.ndarray, capacity: int, times: int) -> list[np.ndarray]:
+        """For each sum the lengths whose rest is among the others and not longer than so many times themselves."""
+        out = []
+        for total in range(capacity + 1):
+            own = down[np.searchsorted(-down.astype(np.int64), -total, "right") :]  # shorter than the sum
+            own = own[: int(np.searchsorted(-own.astype(np.int64) * (times + 1), -total, "right"))]
+            out.append(own[others[total - own.astype(np.int64)]])
+        return out
 
     def pairs(self, total: int) -> np.ndarray:
-        return self._larger[0][self._larger[1][total] : self._larger[1][total + 1]]
+        return self._larger[total].astype(np.int64)
 
     def triples(self, total: int) -> np.ndarray:
-        return self._largest[0][self._largest[1][total] : self._largest[1][total + 1]]
+        return self._largest[total].astype(np.int64)
 
 
 class Planner:

@@ -92,6 +92,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (given := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        given(0)
+
+
 def lean(f: Callable) -> Callable:
     """f, a function of batches, whose worker gives freed memory back to the system when a task is over."""
 
@@ -99,11 +106,7 @@ def lean(f: Callable) -> Callable:
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-                if trim is not None:
-                    trim(0)
+            trim()
 
     return run
 
