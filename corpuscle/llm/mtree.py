@@ -10,8 +10,11 @@ scores of the others are exact whole numbers. A page is left out only if it cann
 Vectors are dealt to blocks of bounded size; each block has a tree, and queries stream past it. Equal vectors of a
 block stand as one with their k + 1 smallest ids, as no more of them can be among the k best of a query.
 
+Components beyond `LARGEST` would make sums of products inexact: a tree that holds some, or a query that does, goes
+through all vectors of the block in whole numbers of any size. A score beyond 64 bits stands as the last one within.
+
 Rows: vectors that are null, or hold null or non-finite components, take no part; nor do rows with a null id. Vectors
-of another length than the query's: an error. Rows that repeat an id and its vector count once; none with a query's
+of another length than the query's are no candidates for it; empty vectors are candidates of each other. Rows that repeat an id and its vector count once; none with a query's
 own id is a candidate for it. Empty tables, or no queries, give an empty table. Other columns are not read.
 """
 
@@ -56,8 +59,12 @@ class Tree:
         ids, vectors = ids[order], vectors[order]
         first = np.flatnonzero(np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(1)])) if len(ids) else order
         bounds = np.append(first, len(ids))
+        self.large = bool(len(vectors)) and float(np.abs(vectors).max(initial=0)) > LARGEST
         self.ids = [ids[a : min(b, a + k + 1)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         vectors = vectors[first].astype(np.float64)
+        if self.large:
+            self.root, self.vectors = None, vectors
+            return
         square = (vectors * vectors).sum(1)
         self.norm2 = float(square.max(initial=0))
         points = np.concatenate([vectors, np.sqrt(np.maximum(0, self.norm2 - square))[:, None]], axis=1)
@@ -93,7 +100,7 @@ class Tree:
         return len(self.pages) - 1
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"vectors": self.vectors.astype(np.int32)}  # no component is beyond LARGEST
+        return self.__dict__ | {"vectors": self.vectors if self.large else self.vectors.astype(np.int32)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state | {"vectors": state["vectors"].astype(np.float64)}
@@ -112,6 +119,8 @@ class Tree:
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) of a query, highest first, ties to the smaller id; its own id is no candidate."""
+        if self.large or float(np.abs(query).max(initial=0)) > LARGEST:
+            return self._all(query, own, k)
         if self.root is None:
             return []
         point = np.append(query, 0.0)
@@ -160,6 +169,14 @@ class Tree:
         return sorted(((s, -x) for s, x in kept), key=lambda p: (-p[0], p[1]))
 
 
+    def _all(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """The same by all vectors, in whole numbers of any size."""
+        exact = [int(x) for x in query.tolist()]
+        within = lambda s: max(-(1 << 63), min(s, (1 << 63) - 1))
+        scored = ((-within(sum(int(x) * y for x, y in zip(v, exact, strict=True))), i) for v, ids in zip(self.vectors.tolist(), self.ids, strict=True) for i in ids.tolist() if i != own)
+        return [(-s, i) for s, i in heapq.nsmallest(k, scored)]
+
+
 def quantised(df: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
     """(id, v): floor(scale * component) of the rows that take part, as doubles that are whole numbers."""
     v = F.col(vector)
@@ -169,13 +186,8 @@ def quantised(df: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if rows and len(flat) % rows or len(set(column.value_lengths().to_pylist())) > 1:
-        raise ValueError("vectors differ in length")
-    if len(flat) and np.abs(flat).max() > LARGEST:
-        raise ValueError(f"components beyond {LARGEST} could give inexact scores")
-    return flat.reshape(rows, -1)
+    """Vectors of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(column[0]))
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
@@ -192,54 +204,52 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, scale: int = 64, key: str =
     chunks = max(1, -(-asked.count() // CHUNK))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block; a block is a task's own or one of several."""
+        """Rows come sorted by length and block; a block is a task's own or one of several."""
         held, at = [], None
 
         def made() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             tree = Tree(t["id"].to_numpy(), _matrix(t["v"].chunk(0)), k)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], ["block", "tree"])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], ["size", "block", "tree"])
 
         for b in batches:
-            numbers = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            sizes, numbers = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((numbers[1:] != numbers[:-1]) | (sizes[1:] != sizes[:-1])) + 1).tolist(), len(numbers)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi == lo:
                     continue
-                if held and numbers[lo] != at:
+                if held and (sizes[lo], numbers[lo]) != at:
                     yield made()
-                at = int(numbers[lo])
+                at = int(sizes[lo]), int(numbers[lo])
                 held.append(b.slice(lo, hi - lo))
         if held:
             yield made()
 
-    dealt = base.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), "id", "v")
-    trees = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(build, "block long, tree binary")
+    dealt = base.select(F.size("v").alias("size"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), "id", "v")
+    trees = dealt.repartition(blocks, "size", "block").sortWithinPartitions("size", "block").mapInArrow(build, "size int, block long, tree binary")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1)))
-    left = trees.select("block", "tree", every.alias("chunk")).select("block", "chunk", F.lit(0).alias("kind"), "tree", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"))
-    right = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))).alias("block"))
-    right = right.select("block", "chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("tree"), "id", "v")
+    left = trees.select("size", "block", "tree", every.alias("chunk")).select("size", "block", "chunk", F.lit(0).alias("kind"), "tree", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"))
+    right = asked.select(F.size("v").alias("size"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))).alias("block"))
+    right = right.select("size", "block", "chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("tree"), "id", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, at = None, None
         for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            kinds, ids = b.column(2).to_pylist(), b.column(4).to_pylist()
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            kinds, ids = b.column(3).to_pylist(), b.column(5).to_pylist()
             out: list[tuple[int, int, int]] = []
-            vectors = b.column(5)
+            vectors = b.column(6)
             for i, kind in enumerate(kinds):
                 if kind == 0:
-                    tree, at = pickle.loads(b.column(3)[i].as_py()), keys[i]
-                elif at == keys[i]:
+                    tree, at = pickle.loads(b.column(4)[i].as_py()), keys[i]
+                elif at == keys[i]:  # else there is no candidate of its length
                     query = vectors[i].values.to_numpy(zero_copy_only=False)
-                    if tree.vectors.shape[1] != len(query):
-                        raise ValueError("vectors differ in length")
                     out += [(ids[i], x, s) for s, x in tree.search(query, ids[i], k)]
             columns = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["query_id", "id", "score"])
 
-    found = left.unionByName(right).repartition(blocks * chunks, "block", "chunk").sortWithinPartitions("block", "chunk", "kind")
+    found = left.unionByName(right).repartition(blocks * chunks, "size", "block", "chunk").sortWithinPartitions("size", "block", "chunk", "kind")
     found = found.mapInArrow(search, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

@@ -347,16 +347,17 @@ class Planner:
 
 
 def pack(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
-    """df with sequence_id and offset; lengths lie between 1 and the capacity (others and nulls: an error).
+    """df with sequence_id and offset. Rows whose length is null, below 1 or above the capacity have no place: both are
+    null for them.
 
     df is written to the shared folder once, so that ranks stay the same when a task is run again.
     """
-    base = stored(df.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    whole = stored(df.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    fits = F.coalesce(F.col(length).between(1, capacity), F.lit(False))
+    base = whole.where(fits)
     counts = base.groupBy("_task", F.col(length).alias("_length")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)))
     histogram = counts.groupBy("_length").agg(F.sum("_n").alias("_n")).collect()  # at most `capacity` rows
-    if any(r["_length"] is None for r in histogram):
-        raise ValueError("a length is null")
     slots = Planner({r["_length"]: r["_n"] for r in histogram}, capacity).plan()
     names = [f.name for f in df.schema.fields]
     ranked = (
@@ -377,4 +378,6 @@ def pack(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *made], [*names, "sequence_id", "offset"])
 
     kept = [f for f in df.schema.fields]
-    return ranked.mapInArrow(run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    placed = ranked.mapInArrow(run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    none = F.lit(None).cast("long")
+    return placed.unionByName(whole.where(~fits).select(*names, none.alias("sequence_id"), none.alias("offset")))

@@ -221,6 +221,26 @@ def test_top_k_tables(spark):
     assert mtree.top_k(empty(df), df, 20).collect() == [] and mtree.top_k(df, empty(df), 20).collect() == []
 
 
+def test_top_k_of_mixed_lengths_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [1.0]), (3, [5.0]), (4, []), (20, [2.0]), (40, [1e6, 1.0]), (5, [1e6, -1.0]), (6, [-1e12, 0.0]), (60, []), (80, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in mtree.top_k(df, df.where("vec_id % 20 = 0"), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    dot = lambda a, b: max(-(2**63), sum(int(64 * x) * int(64 * y) for x, y in zip(a, b, strict=True)))
+    by = dict(rows)
+    for q in (0, 20, 40, 60, 80):
+        want = sorted(((-dot(by[q], v), i) for i, v in rows if i != q and len(v) == len(by[q])))[:4]
+        assert got.get(q, []) == [(i, -s) for s, i in want], q
+
+
+def test_packing_of_lengths_without_a_place(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([None, 0, -1, 11, 10, 4, 6, 5])], "i long, length long")
+    got = {r.i: (r.sequence_id, r.offset) for r in packing.pack(df, 10).collect()}
+    assert {i for i, x in got.items() if x == (None, None)} == {0, 1, 2, 3}
+    assert len({got[i][0] for i in (4, 5, 6, 7)}) == 3 and got[5][0] == got[6][0]
+
+
 def test_warc_round_trip(spark, tmp_path):
     warc.register(spark)
     rows = [(3, "http://a/\r\nb", "same", 0), (1, None, "same", 0), (2, "http://c", None, 0), (4, "http://d", "", 0), (5, "http://ü", "é" * 300_000, 0), (None, "http://n", "same", 0), (1, "http://again", "same", 0)]
