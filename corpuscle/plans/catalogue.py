@@ -183,11 +183,20 @@ fused AS (SELECT b.query_id, b.pos, round(coalesce(s.score, 0) + coalesce(d.scor
 hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM fused) WHERE rank <= 5)"""
 
 
+def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back, as several parts of a query read it."""
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
     """Documents that have a vector of the same number; every hundredth asks with its text and vector."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding")
-    return _stored(spark, search.build(docs, "doc_id", "text", docs.select(F.col("doc_id").alias("pos"), "embedding"))), asked
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    docs = _kept(spark, docs, "joined")
+    index = search.build(docs, "doc_id", "text", docs.select(F.col("doc_id").alias("pos"), "embedding"))
+    index.terms = _kept(spark, index.terms, "terms")
+    return index, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding")
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, rank, pos, score FROM hits")
