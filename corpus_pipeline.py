@@ -7,9 +7,8 @@ table goes through all stages as one. Columns besides those of documents are not
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +38,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without passages of over fifty words that occur elsewhere, too, or twice in them; a character that is
     cut in two goes with its passage. Runs of repeated strings of `PASSAGE` bytes that hold fewer words stay."""
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string()), b.column(2), b.column(3), pa.array([len(t) for t in made], pa.int64())], COLUMNS)
-
-    kept = suffix.deduplicated(docs.select("doc_id", "text", "lang", "source"), length=PASSAGE, least_words=PASSAGE_WORDS, gram=GRAM)
-    return kept.select("doc_id", "kept", "lang", "source").mapInArrow(texts, docs.select(*COLUMNS).schema)
+    kept = suffix.deduplicated(docs.select("doc_id", "text", "lang", "source"), length=PASSAGE, least_words=PASSAGE_WORDS, gram=GRAM, as_text=True)
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import lean, small_batches, trim
+from corpuscle.llm.shared import bounded, lean, small_batches, trim
 
 WORDS = 64
 #: Bytes of text that are described at once.
-STEP = 1 << 20
+STEP = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 WIDTH = 256 + 8
@@ -178,8 +178,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id"
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for at, stop in bounded(b.column(2), STEP):
+                part = b.slice(at, stop - at)
                 x, owner = passages([(t or "").encode("utf-8", "replace") for t in part.column(2).to_pylist()])
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 made = [x[i:j].astype(np.float16).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -373,9 +373,12 @@ def _long_enough(text: bytes, begin: np.ndarray, stop: np.ndarray, least_words:
     return begin[ok], stop[ok]
 
 
-def _removed(length: int, columns: int, keep_bytes: bool, least_words: int):
+def _removed(length: int, columns: int, keep_bytes: bool, least_words: int, as_text: bool = False):
     """Rows of (columns, sha, n_bytes, z, copied, spans) become (columns, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
 
+    def opened(kept: tuple[bytes, ...]) -> pa.Array:
+        return pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sha, sizes, z, copied, spans = (b.column(columns + i) for i in range(5))
@@ -397,15 +400,16 @@ def _removed(length: int, columns: int, keep_bytes: bool, least_words: int):
                 out.append((n - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept))
             lost, runs, hashes, kept = zip(*out, strict=True) if out else ((), (), (), ())
             made = [sizes, pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), pa.array(hashes, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:columns], *made, *([pa.array(kept, pa.binary())] if keep_bytes else [])], [*b.schema.names[:columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])])
+            yield pa.RecordBatch.from_arrays([*b.columns[:columns], *made, *([opened(kept)] if keep_bytes else [])], [*b.schema.names[:columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])])
 
     return run
 
 
-def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_bytes: bool = True, least_words: int = 0, gram: int = GRAM) -> DataFrame:
+def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_bytes: bool = True, least_words: int = 0, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """df without the text, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary); columns of
     df with these names are replaced. least_words: covered runs of fewer words stay. gram: bytes of the grams that name
-    windows, less than length; results do not depend on it."""
+    windows, less than length; results do not depend on it. as_text: kept is a string, without the rests of characters
+    that were cut in two (a second pass over rows in Python would take a second worker for each task)."""
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     columns = [f for f in df.schema.fields if f.name not in made and f.name != text]
     names = [f"c{i}" for i in range(len(columns))]
@@ -416,6 +420,6 @@ def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_byte
     rows = base.join(copied, "id", "left").join(spans, "id", "left").select(*names, "sha", "n_bytes", "z", "copied", "spans")
     kinds = [T.StructField(n, f.dataType) for n, f in zip(names, columns, strict=True)]
     added = [T.StructField(n, T.LongType()) for n in made[:3]] + [T.StructField("kept_sha256", T.StringType())]
-    added += [T.StructField("kept", T.BinaryType())] if keep_bytes else []
-    out = rows.mapInArrow(lean(_removed(length, len(names), keep_bytes, least_words)), T.StructType([*kinds, *added]))
+    added += [T.StructField("kept", T.StringType() if as_text else T.BinaryType())] if keep_bytes else []
+    out = rows.mapInArrow(lean(_removed(length, len(names), keep_bytes, least_words, as_text)), T.StructType([*kinds, *added]))
     return out.select(*(F.col(n).alias(f.name) for f, n in zip(columns, names, strict=True)), *(f.name for f in added))
