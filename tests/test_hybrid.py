@@ -1,10 +1,13 @@
 """Hybrid search against plain Python, where queries are texts that share words with most of the corpus."""
 
+import duckdb
 import numpy as np
 import pytest
 from test_core import plain_bm25
+from test_queries import plain
 
 from corpuscle.operators import search
+from corpuscle.plans import catalogue
 
 
 def shuffled_rows(spark):
@@ -44,3 +47,23 @@ def test_hybrid_of_long_queries(spark, monkeypatch):
         assert [got[q][i + 1][1] for i in range(3)] == [pytest.approx(s, abs=3e-6) for _, s in want]
         assert all(got[q][i + 1][0] == p for i, (p, s) in enumerate(want) if sum(abs(s - z) < 5e-6 for _, z in want) == 1)
     assert shuffled_rows(spark) - before < 30_000  # not one for each text of each query
+
+
+@pytest.mark.parametrize("name", ["ask_end_to_end"])
+def test_queries_shuffle_no_row_for_each_pair(spark, tmp_path, name):
+    r = np.random.default_rng(4)
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(400)]
+    ids = [100 * i for i in range(100)] + list(range(1, 100)) + list(range(101, 200))
+    docs = spark.createDataFrame([(i, " ".join([*r.choice(common, 30), *r.choice(rare, 5)])) for i in ids], "doc_id long, text string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, r.standard_normal(6).tolist()) for i in ids], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled_rows(spark)
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    got = df.collect()
+    assert shuffled_rows(spark) - before < 60_000, shuffled_rows(spark) - before
+    db = duckdb.connect()
+    for x in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {x} AS SELECT * FROM '{tmp_path}/{x}.parquet/*.parquet'")
+    result = db.execute(catalogue.oracle_sql()[name])
+    order = [df.columns.index(d[0]) for d in result.description]
+    assert sorted([plain([x[i] for i in order]) for x in got], key=repr) == sorted([plain(x) for x in result.fetchall()], key=repr)
