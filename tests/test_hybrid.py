@@ -49,7 +49,7 @@ def test_hybrid_of_long_queries(spark, monkeypatch):
     assert shuffled_rows(spark) - before < 30_000  # not one for each text of each query
 
 
-@pytest.mark.parametrize("name", ["ask_end_to_end", "prompt_build"])
+@pytest.mark.parametrize("name", ["ask_end_to_end", "prompt_build", "rerank_overlap"])
 def test_queries_shuffle_no_row_for_each_pair(spark, tmp_path, name):
     r = np.random.default_rng(4)
     common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(400)]
