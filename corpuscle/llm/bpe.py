@@ -271,6 +271,14 @@ def spelled_out(pattern: str) -> str:
     return "".join(out)
 
 
+def _utf8(text: str) -> bytes:
+    """The text's bytes; pairs of surrogates are one character, single ones U+FFFD, as in tiktoken."""
+    try:
+        return text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
+
+
 class Codec:
     """Encodes and decodes texts by one table of ranks and one pattern.
 
@@ -335,7 +343,7 @@ class Codec:
 
     def encode_batch(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        raw = [t.encode("utf-8", "replace") if isinstance(t, str) else t or b"" for t in texts]
+        raw = [_utf8(t) if isinstance(t, str) else t or b"" for t in texts]
         if not self._by_words:
             return [np.array(self._span(t.decode("utf-8", "replace")), np.uint32) for t in raw]
         whole, ends = b"".join(raw), np.cumsum([len(t) for t in raw], dtype=np.int64)
