@@ -10,11 +10,11 @@ from corpuscle.operators import search
 from corpuscle.plans import catalogue
 
 
-def shuffled_rows(spark):
+def shuffled_rows(spark, of="shuffleWriteRecords"):
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     none = jvm.java.util.ArrayList()
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(jvm.double, 0), none)
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), of)() for i in range(stages.size()))
 
 
 def plain_hybrid(docs, vectors, t, v, k):
@@ -67,3 +67,40 @@ def test_queries_shuffle_no_row_for_each_pair(spark, tmp_path, name):
     result = db.execute(catalogue.oracle_sql()[name])
     order = [df.columns.index(d[0]) for d in result.description]
     assert sorted([plain([x[i] for i in order]) for x in got], key=repr) == sorted([plain(x) for x in result.fetchall()], key=repr)
+
+
+@pytest.mark.parametrize("name", ["ask_end_to_end"])
+def test_texts_without_vectors_are_not_shuffled(spark, tmp_path, name):
+    r = np.random.default_rng(5)
+    common = [f"word{i}" for i in range(40)]
+    docs = [(i, " ".join(r.choice(common, 3000))) for i in [*range(200), *range(10_000, 11_000)]] + [(None, "no number")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, r.standard_normal(6).tolist()) for i in [*range(200), *range(20_000, 20_050)]] + [(None, [1.0] * 6)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled_rows(spark, "shuffleWriteBytes")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        df = catalogue.queries()[name](spark, str(tmp_path))
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    written = shuffled_rows(spark, "shuffleWriteBytes") - before
+    assert written < 0.75 * sum(len(x) for _, x in docs[:200]), written
+    db = duckdb.connect()
+    for x in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {x} AS SELECT * FROM '{tmp_path}/{x}.parquet/*.parquet'")
+    result = db.execute(catalogue.oracle_sql()[name])
+    order = [df.columns.index(d[0]) for d in result.description]
+    assert sorted([plain([x[i] for i in order]) for x in got], key=repr) == sorted([plain(x) for x in result.fetchall()], key=repr)
+
+
+@pytest.mark.parametrize("numbers", [[], [7], [None, -5, 1 << 40, 3, 3], list(range(0, 60_000, 3))])
+def test_likely_in_loses_no_partner(spark, numbers):
+    rows = spark.range(-10, 60_000, 1, 3).union(spark.sql("VALUES (1L << 40), (NULL)")).withColumnRenamed("id", "k").selectExpr("k", "-k AS v")
+    keys = spark.createDataFrame([(x,) for x in numbers], "k int" if max([0, *filter(None, numbers)]) < 1 << 31 else "k long")
+    left = catalogue._likely_in(rows, "k", keys)
+    assert left.columns == ["k", "v"]
+    got = [x.k for x in left.collect()]
+    want = [x.k for x in rows.join(keys.distinct(), "k").collect()]
+    assert set(want) <= set(got) and len(got) == len(set(got))
+    assert len(got) - len(want) < 6000
