@@ -230,8 +230,7 @@ reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, asked = _hybrid(spark, sf_dir)
-    hits = search.hybrid_topk(index, asked, 5).join(asked.select("query_id", "query"), "query_id").join(index.corpus.select("pos", "text"), "pos")
-    return search.rerank(hits, 5)
+    return search.rerank(search.with_texts(index, asked, search.hybrid_topk(index, asked, 5)), 5)
 
 
 @query(f"WITH {_RERANKED} SELECT query_id, rank, pos, score FROM reranked")
