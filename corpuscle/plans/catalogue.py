@@ -205,14 +205,31 @@ def _likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return met.select(*df.columns)
 
 
+def _met(spark: SparkSession, df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df as its join with keys gives it, each row once for each equal key, without a shuffle of df.
+
+    The keys, eight bytes each, are broadcast in short lists by their hash.
+    """
+    lists = keys.count() // 64 + 1
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(lists))
+    listed = keys.where(F.col(key).isNotNull()).groupBy(place.alias("_list")).agg(F.collect_list(key).alias("_keys"))
+    listed = _kept(spark, listed, "keys")
+    found = df.withColumn("_list", place).join(F.broadcast(listed), "_list").where(F.array_contains("_keys", F.col(key)))
+    return found.withColumn("_each", F.explode(F.filter("_keys", lambda x: x == F.col(key)))).select(*df.columns)
+
+
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
-    """Documents that have a vector of the same number; every hundredth asks with its text and vector."""
+    """Documents that have a vector of the same number; every hundredth asks with its text and vector.
+
+    Texts are read where they lie and neither shuffled nor stored, but for those that ask.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = _likely_in(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", vectors).join(vectors, "doc_id")
-    docs = _kept(spark, docs, "joined")
-    index = search.build(docs, "doc_id", "text", docs.select(F.col("doc_id").alias("pos"), "embedding"))
+    asked = _kept(spark, docs.join(vectors, "doc_id").where(F.col("doc_id") % 100 == 0), "asked")
+    known = _kept(spark, _likely_in(docs.select("doc_id"), "doc_id", vectors).join(vectors, "doc_id"), "vectors")
+    index = search.build(_met(spark, docs, "doc_id", vectors.select("doc_id")), "doc_id", "text", known.withColumnRenamed("doc_id", "pos"))
     index.terms = _kept(spark, index.terms, "terms")
-    return index, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding")
+    return index, asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding")
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, rank, pos, score FROM hits")

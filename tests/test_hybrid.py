@@ -104,3 +104,40 @@ def test_likely_in_loses_no_partner(spark, numbers):
     want = [x.k for x in rows.join(keys.distinct(), "k").collect()]
     assert set(want) <= set(got) and len(got) == len(set(got))
     assert len(got) - len(want) < 6000
+
+
+@pytest.mark.parametrize("name", ["rerank_overlap"])
+def test_texts_with_vectors_are_neither_shuffled_nor_stored(spark, tmp_path, monkeypatch, name):
+    r = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(5000)]
+    docs = [(i, " ".join(r.choice(words[:40] if i % 100 else words, 3000))) for i in range(1, 401)] + [(None, "no number")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, r.standard_normal(6).tolist()) for i in [*range(1, 401), 900]] + [(None, [1.0] * 6)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled_rows(spark, "shuffleWriteBytes")
+    monkeypatch.setattr(catalogue, "new_path", lambda spark, name: f"{tmp_path}/shared/{name}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        df = catalogue.queries()[name](spark, str(tmp_path))
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    written = shuffled_rows(spark, "shuffleWriteBytes") - before
+    stored = sum(p.stat().st_size for p in (tmp_path / "shared").rglob("*.parquet"))
+    size = sum(len(x) for _, x in docs)
+    assert written < 0.2 * size and stored < 0.1 * size, (written, stored, size)
+    db = duckdb.connect()
+    for x in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {x} AS SELECT * FROM '{tmp_path}/{x}.parquet/*.parquet'")
+    result = db.execute(catalogue.oracle_sql()[name])
+    order = [df.columns.index(d[0]) for d in result.description]
+    assert sorted([plain([x[i] for i in order]) for x in got], key=repr) == sorted([plain(x) for x in result.fetchall()], key=repr)
+
+
+@pytest.mark.parametrize("numbers", [[], [7], [None, -5, 1 << 40, 3, 3], list(range(0, 6000, 3)) * 2])
+def test_met_is_the_join(spark, numbers):
+    rows = spark.range(-10, 6000, 1, 3).union(spark.sql("VALUES (1L << 40), (3L), (NULL)")).withColumnRenamed("id", "k").selectExpr("k", "-k AS v")
+    keys = spark.createDataFrame([(x,) for x in numbers], "k int" if max([0, *filter(None, numbers)]) < 1 << 31 else "k long")
+    got = catalogue._met(spark, rows, "k", keys)
+    assert got.columns == ["k", "v"] and got.schema == rows.schema
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keys, "k").collect()))
