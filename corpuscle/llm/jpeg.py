@@ -258,7 +258,7 @@ class Bits:
     """The lanes' bytes, to be read at any bit; starts are in bytes."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray):
-        raw = np.concatenate([data, np.zeros(16, np.uint8)]).astype(np.int64)
+        raw = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.int64)
         n = len(raw) - 4
         self._words = raw[:n] << 32 | raw[1 : n + 1] << 24 | raw[2 : n + 2] << 16 | raw[3 : n + 3] << 8 | raw[4 : n + 4]
         self.starts = 8 * starts
@@ -314,10 +314,10 @@ class Lanes:
             raise ValueError("a scan has too few restart intervals")
         first = np.sort(np.concatenate([begins[:-1], marks + 2]))
         first = first[np.arange(len(first)) - np.repeat(np.cumsum(own) - own, own) < np.repeat(of.lanes, own)]
-        data = np.delete(raw, stuffed)
-        marks = marks - np.searchsorted(stuffed, marks)
-        data[marks] = data[marks + 1] = 0
-        self.bits = Bits(data, first - np.searchsorted(stuffed, first))
+        data, times = raw.copy(), np.ones(len(raw), np.int64)
+        data[marks] = data[marks + 1] = times[stuffed] = 0
+        times[marks] = times[marks + 1] = 4  # eight zeros after each lane
+        self.bits = Bits(np.repeat(data, times), first - np.searchsorted(stuffed, first) + 6 * np.searchsorted(marks, first))
 
 
 def read_dc(lanes: Lanes, coefs: np.ndarray, frame: Frame, scan: Scan) -> None:
