@@ -19,6 +19,8 @@ from corpuscle.llm.shared import bounded, new_path, tables
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PATTERN = public_tokenizers.PATTERN
+#: Bytes of the strings by which repeated passages are found, of the grams that name them, and a passage's words.
+PASSAGES = (150, 60, 51)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +52,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What remains of each document without bytes covered by repeated strings of 400 bytes."""
-    made = suffix.deduplicated(tables(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
+    """What remains of each document without bytes covered by repeated strings of 400 bytes. Two columns follow, which
+    count passages of over fifty words, too, as the pipeline does: n_passages, how many of a document's repeat, and
+    text, what remains without both."""
+    made = suffix.deduplicated(tables(spark, sf_dir, "documents").select("doc_id", "text"), length=400, keep_bytes=False, passages=PASSAGES)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", F.expr("make_valid_utf8(cast(rest as string))").alias("text"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

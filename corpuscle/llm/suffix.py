@@ -15,6 +15,8 @@ What is asked: which strings of `length` bytes start at two places of the collec
 4. Names with more than `CROWD` rows of fragments are named anew by grams of length - 1 bytes, under which at most
    two bytes of a fragment differ, so that a name's distinct fragments are bounded.
 5. Repeated windows are joined back to the places of their fragments, and the runs they cover are removed.
+6. Where shorter passages are asked for, too, they are found first: a repeated string of `length` bytes lies within the
+   bytes that repeated strings of fewer bytes cover, so only those bytes are named again.
 
 Rows: a null text counts as empty and an empty text loses nothing. Texts of any length are whole; their windows are
 found some at a time. Repeated rows (equal texts) of at least `length` bytes lose all their bytes. Rows are told
@@ -25,15 +27,15 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import lean, stored, texts_by_id, unzipped
+from corpuscle.llm.shared import lean, new_path, scratch, stored, texts_by_id, unzipped
 
 GRAM = 100
 #: Rows of fragments of one name above which the name is split.
@@ -191,12 +193,14 @@ def _least_between(shared: np.ndarray, before: np.ndarray, after: np.ndarray, wa
 # --- the operator
 
 
-def text_runs(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """named_runs of a whole text, in overlapping stretches of bounded length."""
+def text_runs(text: bytes, length: int, gram: int, within: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, ...]:
+    """named_runs of a whole text, or of the windows that lie within given runs of its bytes, in overlapping stretches
+    of bounded length."""
     data, parts = np.frombuffer(text, np.uint8), []
-    for at in range(0, len(data) - length + 1, SPAN):
-        name, first, windows, place = named_runs(data[at : at + SPAN + length - 1], length, gram)
-        parts.append((name.view(np.int64), first + at, windows, place + at))
+    for begin, stop in [(0, len(data))] if within is None else within:
+        for at in range(begin, stop - length + 1, SPAN):
+            name, first, windows, place = named_runs(data[at : min(stop, at + SPAN + length - 1)], length, gram)
+            parts.append((name.view(np.int64), first + at, windows, place + at))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
@@ -209,13 +213,14 @@ def _unpacked(column: pa.Array) -> list[bytes]:
 
 
 def _named(length: int, gram: int, unpack):
-    """Runs of (id, n, bytes) rows, without their bytes; n is carried along."""
+    """Runs of (id, n, bytes) rows, without their bytes; n is carried along. A fourth column holds the spans to look at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                made = [text_runs(t, length, gram) for t in unpack(part.column(2))]
+                within = [list(zip(*(x.tolist() for x in _merged(own)), strict=True)) for own in part.column(3)] if part.num_columns > 3 else [None] * part.num_rows
+                made = [text_runs(t, length, gram, w) for t, w in zip(unpack(part.column(2)), within, strict=True)]
                 sizes = [len(m[0]) for m in made]
                 ids, n = (np.repeat(part.column(i).to_numpy(), sizes) for i in (0, 1))
                 yield _longs(dict(zip(("id", "n", "name", "first", "windows", "place"), (ids, n, *(np.concatenate(x) for x in zip(*made, strict=True))), strict=True)))
@@ -331,9 +336,10 @@ def covered(texts: DataFrame, length: int = 400, gram: int = GRAM, crowd: int =
     """(id, spans): the bytes [begin, stop) of each text that repeated strings of `length` bytes cover.
 
     texts: id (a distinct number), z (the text's bytes in zstd), n (at how many places it stands; 2 stands for more).
-    Texts without such bytes have no row. Spans may overlap; they are not sorted.
+    Texts without such bytes have no row. Spans may overlap; they are not sorted. Where texts have a column within, of
+    spans as well, strings outside of these are not looked at.
     """
-    runs = stored(texts.select("id", "n", "z").mapInArrow(lean(_named(length, gram, _unpacked)), _NAMED), "runs")
+    runs = stored(texts.select("id", "n", "z", *(c for c in texts.columns if c == "within")).mapInArrow(lean(_named(length, gram, _unpacked)), _NAMED), "runs")
     names = runs.groupBy("name").agg(F.sum("n").alias("all")).where("all > 1").select("name")
     names = stored(names, "names")  # with an exchange of its own on both sides, Spark can split a frequent name
     own = runs.join(names, "name", "left_semi").groupBy("id").agg(F.collect_list(F.struct("n", "name", "first", "windows", "place")).alias("runs"))
@@ -359,6 +365,15 @@ def _split(crowded: DataFrame, length: int) -> DataFrame:
     return hits.join(distinct.select("id", "k1", "k2"), "id").select("k1", "k2", "begin", "stop")
 
 
+def _kept_alone(made: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """stored() of a table, without the tables that were written to make it."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        df = made()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes that spans cover."""
     order = np.argsort(begin, kind="stable")
@@ -367,18 +382,40 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin[first], stop[np.append(first[1:], len(begin)) - 1] if len(begin) else stop
 
 
+def _merged(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """merged() of a list of (begin, stop), which may be null."""
+    if not spans.is_valid or not len(spans.values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return merged(*(spans.values.field(k).to_numpy() for k in ("begin", "stop")))
+
+
+def _without(text: bytes, begin: np.ndarray, stop: np.ndarray) -> bytes:
+    edges = [0, *np.stack([begin, stop], 1).ravel().tolist(), len(text)]
+    return b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
+
+
 def _long_enough(text: bytes, begin: np.ndarray, stop: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The runs that hold so many words, those cut at a run's ends included."""
     ok = np.array([len(text[a:b].split()) >= least_words for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], bool)
     return begin[ok], stop[ok]
 
 
-def _removed(length: int, columns: int, keep_bytes: bool, least_words: int, as_text: bool = False):
-    """Rows of (columns, sha, n_bytes, z, copied, spans) become (columns, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
+def _removed(length: int, columns: int, keep_bytes: bool, least_words: int, as_text: bool = False, passages: tuple[int, int, int] | None = None):
+    """Rows of (columns, sha, n_bytes, z, copied, spans) become (columns, n_bytes, n_removed, n_spans, kept_sha256, kept);
+    with passages, whose spans are a further column, n_passages and rest come last."""
 
     def opened(kept: tuple[bytes, ...]) -> pa.Array:
         return pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
 
+    def rest(z: pa.Scalar, n: int, double: bool | None, spans: pa.Scalar, near: pa.Scalar) -> tuple[int, bytes]:
+        if double and n >= length:
+            return int(n >= passages[0] and len(unzipped(z.as_py()).split()) >= passages[2]), b""
+        text = unzipped(z.as_py())
+        whole = double and n >= passages[0]
+        begin, stop = _long_enough(text, *((np.zeros(1, np.int64), np.array([n])) if whole else _merged(near)), passages[2])
+        gone = [np.concatenate(x) for x in zip((begin, stop), _merged(spans), strict=True)]
+        return len(begin), _without(text, *merged(*gone)) if len(gone[0]) else text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sha, sizes, z, copied, spans = (b.column(columns + i) for i in range(5))
@@ -392,34 +429,52 @@ def _removed(length: int, columns: int, keep_bytes: bool, least_words: int, as_t
                 if plain:
                     out.append((0, 0, h.hex(), text))
                     continue
-                own = spans[i].values
-                begin, stop = merged(own.field("begin").to_numpy(), own.field("stop").to_numpy())
+                begin, stop = _merged(spans[i])
                 begin, stop = _long_enough(text, begin, stop, least_words) if least_words else (begin, stop)
-                edges = [0, *np.stack([begin, stop], 1).ravel().tolist(), n]
-                kept = b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                kept = _without(text, begin, stop)
                 out.append((n - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept))
             lost, runs, hashes, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            made = [sizes, pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), pa.array(hashes, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:columns], *made, *([opened(kept)] if keep_bytes else [])], [*b.schema.names[:columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])])
+            made = {"n_bytes": sizes, "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(hashes, pa.string())}
+            made |= {"kept": opened(kept)} if keep_bytes else {}
+            if passages:
+                near = b.column(columns + 5)
+                found = [rest(z[i], n, double, spans[i], near[i]) for i, (n, double) in enumerate(zip(sizes.to_pylist(), copied.to_pylist(), strict=True))]
+                made |= {"n_passages": pa.array([x[0] for x in found], pa.int64()), "rest": opened(tuple(x[1] for x in found))}
+            yield pa.RecordBatch.from_arrays([*b.columns[:columns], *made.values()], [*b.schema.names[:columns], *made])
 
     return run
 
 
-def deduplicated(df: DataFrame, text: str = "text", length: int = 400, keep_bytes: bool = True, least_words: int = 0, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def deduplicated(
+    df: DataFrame, text: str = "text", length: int = 400, keep_bytes: bool = True, least_words: int = 0, gram: int = GRAM, as_text: bool = False, passages: tuple[int, int, int] | None = None
+) -> DataFrame:
     """df without the text, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary); columns of
     df with these names are replaced. least_words: covered runs of fewer words stay. gram: bytes of the grams that name
     windows, less than length; results do not depend on it. as_text: kept is a string, without the rests of characters
-    that were cut in two (a second pass over rows in Python would take a second worker for each task)."""
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    that were cut in two (a second pass over rows in Python would take a second worker for each task).
+
+    passages: (bytes, gram, words), of bytes up to length. n_passages counts the runs of so many words and more that
+    repeated strings of so many bytes cover, and rest is what remains without them and without what n_removed counts
+    (as kept, a string with as_text). The other columns do not depend on it."""
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(["n_passages", "rest"] if passages else [])]
     columns = [f for f in df.schema.fields if f.name not in made and f.name != text]
     names = [f"c{i}" for i in range(len(columns))]
     base = texts_by_id(df, text, columns, "texts")
     groups = stored(base.groupBy("sha").agg(F.min("id").alias("id"), F.least(F.count("*"), F.lit(2)).alias("n")), "copies")
-    spans = covered(base.where(F.col("n_bytes") >= length).select("id", "z").join(groups.select("id", "n"), "id"), length, gram)
+    distinct = lambda least: base.where(F.col("n_bytes") >= least).select("id", "z").join(groups.select("id", "n"), "id")
+    texts = distinct(length)
+    if passages:
+        near = _kept_alone(lambda: covered(distinct(passages[0]), *passages[:2]), df.sparkSession, "passages")
+        texts = texts.join(near.withColumnRenamed("spans", "within"), "id")
+    spans = covered(texts, length, gram)
     copied = base.select("id", "sha").join(groups.where("n > 1").select("sha"), "sha", "left_semi").select("id", F.lit(True).alias("copied"))
-    rows = base.join(copied, "id", "left").join(spans, "id", "left").select(*names, "sha", "n_bytes", "z", "copied", "spans")
+    rows = base.join(copied, "id", "left").join(spans, "id", "left")
+    rows = rows.join(near.withColumnRenamed("spans", "near"), "id", "left") if passages else rows
+    rows = rows.select(*names, "sha", "n_bytes", "z", "copied", "spans", *(["near"] if passages else []))
     kinds = [T.StructField(n, f.dataType) for n, f in zip(names, columns, strict=True)]
+    bytes_or_text = T.StringType() if as_text else T.BinaryType()
     added = [T.StructField(n, T.LongType()) for n in made[:3]] + [T.StructField("kept_sha256", T.StringType())]
-    added += [T.StructField("kept", T.StringType() if as_text else T.BinaryType())] if keep_bytes else []
-    out = rows.mapInArrow(lean(_removed(length, len(names), keep_bytes, least_words, as_text)), T.StructType([*kinds, *added]))
+    added += [T.StructField("kept", bytes_or_text)] if keep_bytes else []
+    added += [T.StructField("n_passages", T.LongType()), T.StructField("rest", bytes_or_text)] if passages else []
+    out = rows.mapInArrow(lean(_removed(length, len(names), keep_bytes, least_words, as_text, passages)), T.StructType([*kinds, *added]))
     return out.select(*(F.col(n).alias(f.name) for f, n in zip(columns, names, strict=True)), *(f.name for f in added))

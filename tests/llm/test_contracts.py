@@ -85,6 +85,21 @@ def test_op2(spark, folder):
         assert got[i].n_removed or got[i].text == (TEXTS[i] or "")
 
 
+def test_op2_passages(spark, tmp_path):
+    short, less, long = words(11, 53), words(12, 40), words(13, 120)
+    assert 150 < len(short) < 400 < len(long)
+    own = [words(20 + i, 70) for i in range(10)]
+    texts = [f"{own[0]} {short} {own[1]}", f"{own[2]}\n{short} {own[3]}", f"{short} {own[4]} {long}", f"{own[5]} {less}", f"{less} {own[6]}", f"{long} {own[7]}", own[8], own[9], short + " x", None, less, less]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), f"{tmp_path}/documents.parquet")
+    got = made(spark, "op2_suffix_dedup", str(tmp_path))
+    for i, want in enumerate(plain_removal(texts, 400)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+    assert [got[i].n_passages for i in range(len(texts))] == [1, 1, 2, 0, 0, 1, 0, 0, 1, 0, 0, 0]
+    assert all(short not in got[i].text and long not in got[i].text for i in range(len(texts)))
+    assert all(got[i].text == (texts[i] or "") for i in (3, 4, 6, 7, 9, 10, 11))
+    assert own[0] in got[0].text and own[3] in got[1].text and own[4] in got[2].text and own[7] in got[5].text
+
+
 def test_op3(spark, folder):
     assert all(r.doc_id == 17 for r in queries.op3_license_scan(spark, folder).collect())
 
