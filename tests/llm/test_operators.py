@@ -67,6 +67,18 @@ def test_suffix_dedup(docs, crowd, monkeypatch):
     assert suffix.deduplicated(empty(docs)).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_suffix_dedup_passages(docs, crowd, monkeypatch):
+    monkeypatch.setattr(suffix.covered, "__defaults__", (400, suffix.GRAM, crowd))
+    made = {r.n: r for r in suffix.deduplicated(docs, length=400, passages=(150, 60, 51)).collect()}
+    for i, want in enumerate(plain_removal(TEXTS, 400)):
+        r = made[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
+        assert r.rest == r.kept  # of these texts 400 bytes repeat wherever a passage does
+    assert [made[i].n_passages for i in range(len(TEXTS))] == [0, 0, 0, 1, 1, 1, 1, 0, 0, 0]
+    assert suffix.deduplicated(empty(docs), passages=(150, 60, 51)).collect() == []
+
+
 def test_suffix_dedup_without_repeats(spark):
     df = spark.createDataFrame([(1, words(7, 200)), (2, None)], "doc_id long, text string")
     assert {r.n_removed for r in suffix.deduplicated(df, keep_bytes=False).collect()} == {0}
